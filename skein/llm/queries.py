@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .byte_bpe import encode_and_decode
 from .chat import rotate_perspectives
+from .line_dedup import dedup_lines
+from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .quality import judge_repetition
 from .token_counts import count_tokens
@@ -28,6 +30,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -40,6 +46,10 @@ def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -49,7 +59,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repetition_rules, op2_token_counts, op4_packing, op5_url_filters, op7_perspective_rotation, op9_nearest_neighbours, op10_byte_bpe)
+    f.__name__: f for f in (op1_repetition_rules, op2_token_counts, op3_line_dedup, op4_packing, op5_url_filters, op7_perspective_rotation, op8_ngram_jaccard_join, op9_nearest_neighbours, op10_byte_bpe)
 }
 
 ORACLE_SQL = {
