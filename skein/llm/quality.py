@@ -159,10 +159,11 @@ def judge_repetition(docs: DataFrame, rules: RepetitionRules = RULES, keep: tupl
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     if clash := set(keep) & set(names):
         raise ValueError(f"kept columns clash with measures: {sorted(clash)}")
-    picked = docs.select(*keep, F.col(text).alias("__text"))
+    column = text if text in keep else "__text"
+    picked = docs.select(*keep, *([] if text in keep else [F.col(text).alias("__text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches, "__text"):
+        for s in slices(batches, column):
             found = measures(s, rules)
             own = [s.rows.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(found[n]) for n in names)], names=[*keep, *names])

@@ -14,6 +14,7 @@ from .line_dedup import dedup_lines
 from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .quality import judge_repetition
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 from .url_filters import RULES, judge_urls
 
@@ -42,6 +43,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -59,7 +64,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repetition_rules, op2_token_counts, op3_line_dedup, op4_packing, op5_url_filters, op7_perspective_rotation, op8_ngram_jaccard_join, op9_nearest_neighbours, op10_byte_bpe)
+    f.__name__: f for f in (op1_repetition_rules, op2_token_counts, op3_line_dedup, op4_packing, op5_url_filters, op6_suffix_dedup, op7_perspective_rotation, op8_ngram_jaccard_join, op9_nearest_neighbours, op10_byte_bpe)
 }
 
 ORACLE_SQL = {
