@@ -13,10 +13,12 @@ so it is as large for a thousand documents as for a trillion.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,42 +26,120 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .byte_bpe import repeated
 from .durable import written
+from .pieces import BLANK, LL, NUMBER, QUOTE, SHORT, E, R, V, classes
+from .text import numbered
 from .vocabulary import library_tokenizer, vocabulary_path
 
 WINDOW = 4096
 END_ID = 2
 MOST_COLUMNS = 20_000
 SWEEPS = 25
-MOST_KNOWN = 200_000
+MOST_KNOWN = 500_000
 
-#: Characters that str.split() takes for space and the tokenizer does not.
-NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+class PieceIds:
+    """Ids of texts, piece by piece.
 
-
-class WordIds:
-    """A text's ids, word by word: the tokenizer never joins across white space, so each distinct word is encoded once by the library."""
+    After normalization the tokenizer splits a text into runs of letters,
+    single digits, runs of other signs and English contractions, and encodes
+    each alone. So a slice is split at once in NumPy, its distinct pieces are
+    found by exact comparison, and the library encodes those not met before.
+    Texts that hold a special string, or a piece that normalization would
+    change again, go to the library whole.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = library_tokenizer(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {}
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.known: dict[bytes, bytes | None] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def normal(self, text: str) -> str | None:
+        """The normalized text; None if the library must see it whole."""
+        if any(x in text for x in self.special):
+            return None
+        try:  # Latin-1 has no letters that compose, and keeps to itself in lower case
+            text.encode("latin-1")
+            return text.lower()
+        except UnicodeEncodeError:
+            out = self.tokenizer.normalizer.normalize_str(text)
+            # Unicode versions differ on the classes of code points that this one has not assigned
+            return None if unassigned()[np.frombuffer(out.encode("utf-32-le"), dtype=np.uint32)].any() else out
+
+    def learn(self, pieces: list[bytes]) -> None:
+        words = [p.decode("utf-8") for p in pieces]
+        for lo in range(0, len(words), 2000):
+            some = words[lo : lo + 2000]
+            joined = " ".join(some)
+            if self.tokenizer.normalizer.normalize_str(joined) != joined:
+                stable = [self.tokenizer.normalizer.normalize_str(w) == w for w in some]
+                self.known.update((w.encode(), self.whole(w) if ok else None) for w, ok in zip(some, stable, strict=True))
+                continue
+            found = self.tokenizer.encode(joined, add_special_tokens=False)
+            raw = np.array(found.ids, dtype="<u4").tobytes()
+            begins = np.cumsum([0, *(len(w) + 1 for w in some)])
+            cut = (4 * np.searchsorted(np.array(found.offsets).reshape(-1, 2)[:, 0], begins)).tolist()
+            self.known.update((w.encode(), raw[x:y]) for w, x, y in zip(some, cut, cut[1:], strict=False))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > MOST_KNOWN:
             self.known.clear()
-        split = [None if any(c in t for c in self.special + NOT_SPACE) else t.split() for t in texts]
-        new = list({w for words in split if words for w in words if w not in self.known})
-        self.known.update(zip(new, self.library(new), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) if words is not None else self.library([t])[0] for t, words in zip(texts, split, strict=True)]
-
-
-_ENCODERS: dict[str, WordIds] = {}
+        normal = [self.normal(t) for t in texts]
+        odd = {i for i, t in enumerate(normal) if t is None}
+        normal = [t or "" for t in normal]
+        data = np.frombuffer("".join(normal).encode("utf-8"), dtype=np.uint8)
+        starts, ends, first = word_pieces("".join(normal), data, np.cumsum([0, *map(len, normal)]))
+        code, distinct = numbered(data, starts, ends)
+        self.learn([p for p in distinct if p not in self.known])
+        values = [self.known[p] for p in distinct]
+        joined, off = repeated([v or b"" for v in values], code)
+        cut = off[first].tolist()
+        out = [joined[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+        if None in values:
+            bad = np.array([v is None for v in values])[code]
+            odd |= {i for i in range(len(texts)) if bad[first[i] : first[i + 1]].any()}
+        for i in odd:
+            out[i] = self.whole(texts[i])
+        return out
+
+
+@lru_cache(maxsize=1)
+def unassigned() -> np.ndarray:
+    """Whether a code point has no character."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+
+
+def word_pieces(text: str, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the pieces of texts that stand end to end at the character offsets ``off``, and the first piece of each."""
+    if not text:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(off), np.int64)
+    kind = classes()[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
+    group = np.where(kind <= E, 1, np.where(kind == NUMBER, 2, np.where(kind <= BLANK, 0, 3))).astype(np.int8)
+    edge = np.zeros(len(kind) + 1, dtype=bool)  # a text begins here
+    edge[off] = True
+    begins = (group > 0) & ((group == 2) | edge[:-1] | np.concatenate([[True], group[1:] != group[:-1]]))
+    quote = np.flatnonzero((kind == QUOTE) & begins)
+    for size in (2, 3):  # a quote that is a piece of its own so far, and the letters of a contraction
+        q = quote[quote + size <= len(kind)]
+        for k in range(1, size):
+            q = q[~edge[q + k]]
+        one = kind[q + 1]
+        q = q[one == SHORT] if size == 2 else q[((one == R) | (one == V)) & (kind[q + 2] == E) | (one == LL) & (kind[q + 2] == LL)]
+        begins[q + 1] = False
+        after = q + size
+        after = after[after < len(kind)]
+        begins[after[group[after] == 1]] = True
+    stops = (group > 0) & np.concatenate([edge[1:-1] | begins[1:] | (group[1:] == 0), [True]])
+    at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    starts = np.flatnonzero(begins)
+    return at[starts], at[np.flatnonzero(stops) + 1], np.searchsorted(starts, off)
+
+
+_ENCODERS: dict[str, PieceIds] = {}
 
 
 def cut_documents(docs: DataFrame, window: int, vocabulary: str, folder: str | None, keep: str, text: str, with_ids: bool) -> DataFrame:
@@ -69,14 +149,14 @@ def cut_documents(docs: DataFrame, window: int, vocabulary: str, folder: str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = vocabulary_path(vocabulary, folder)
         if path not in _ENCODERS:
-            _ENCODERS[path] = WordIds(path)
+            _ENCODERS[path] = PieceIds(path)
         part, seen = TaskContext.get().partitionId(), Counter()
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth", *["ids"] * with_ids]
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
                 row, cols = [], {n: [] for n in names}
-                for i, ids in enumerate(WordIds.encode(_ENCODERS[path], [t or "" for t in some.column(1).to_pylist()])):
+                for i, ids in enumerate(_ENCODERS[path].encode([t or "" for t in some.column(1).to_pylist()])):
                     ids += END_ID.to_bytes(4, "little")
                     n = len(ids) // 4
                     for start in range(0, n, window):

@@ -86,15 +86,30 @@ def line_bounds(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, first
 
 
+def _dictionary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Ranges (in order and not overlapping) and the gaps between them, as indices into distinct values; and these."""
+    off = np.empty(2 * len(starts), dtype=np.int64)
+    off[0::2], off[1::2] = starts, ends
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
+    found = pieces.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False)[0::2].astype(np.int64), found.dictionary
+
+
 def codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int]:
     """Equal numbers for equal byte ranges (in order and not overlapping), by exact comparison; and a bound on them."""
     if not len(starts):
         return np.empty(0, np.int64), 0
-    off = np.empty(2 * len(starts), dtype=np.int64)
-    off[0::2], off[1::2] = starts, ends
-    pieces = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(data)])
-    found = pieces.dictionary_encode()
-    return found.indices.to_numpy(zero_copy_only=False)[0::2].astype(np.int64), len(found.dictionary)
+    code, values = _dictionary(data, starts, ends)
+    return code, len(values)
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The byte ranges as numbers into a list of distinct ones."""
+    if not len(starts):
+        return np.empty(0, np.int64), []
+    code, values = _dictionary(data, starts, ends)
+    used, code = np.unique(code, return_inverse=True)
+    return code, values.take(pa.array(used)).to_pylist()
 
 
 _B = 0x9E3779B97F4A7C15 | 1
