@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -233,7 +234,7 @@ def interval_batch(rows: list[tuple[int, int, int]]) -> list[pa.Array]:
 
 
 def runs_of(asked: DataFrame, rules: RepeatRules, partitions: int) -> DataFrame:
-    """Rows (key, __text, wanted: array of (place, gram hash)) to front-coded runs and to covers that a task knows by itself (part -1)."""
+    """Rows (key, __text, wanted: array of (place, gram hash)) to front-coded runs and to covers that a task knows by itself (without a run)."""
     names = ["part", "run", "nth", "blob", "key", "start", "stop"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,17 +281,18 @@ def runs_of(asked: DataFrame, rules: RepeatRules, partitions: int) -> DataFrame:
                 if held > rules.run_bytes:
                     yield from sent()
                     held = 0
-            if found:
+            if found:  # these need no merge, and only pass through one of its partitions
                 n = len(found)
                 none = pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int64()), *none, *interval_batch(found)], names=names)
+                keys, starts, stops = interval_batch(found)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.to_numpy() % partitions), *none, keys, starts, stops], names=names)
         yield from sent()
 
     return asked.mapInArrow(run, "part long, run string, nth long, blob binary, key long, start long, stop long")
 
 
 def repeats(runs: DataFrame, rules: RepeatRules) -> DataFrame:
-    """(key, start, stop) of what runs have in common. runs: sorted by part, run and nth in each partition."""
+    """(key, start, stop) of what runs have in common, and of what was known before. runs: sorted by part, run and nth in each partition."""
 
     def of(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
         found, group = [], []
@@ -309,7 +311,11 @@ def repeats(runs: DataFrame, rules: RepeatRules) -> DataFrame:
         held: dict[str, list[bytes]] = {}
         last = None
         for batch in batches:
-            for part, name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            known = batch.filter(pc.is_null(batch.column(1)))
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column(i) for i in (4, 5, 6)], names=["key", "start", "stop"])
+            batch = batch.filter(pc.is_valid(batch.column(1)))
+            for part, name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if part != last and held:
                     yield from of(held)
                     held = {}
@@ -362,14 +368,14 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), keep: tu
             row, place, gram = anchors(s, rules)
             yield pa.RecordBatch.from_arrays([s.rows.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(gram.view(np.int64))], names=["key", "place", "gram"])
 
-    found = written(bare.mapInArrow(anchored, "key long, place int, gram long"), "anchors")
+    # anchors are cheaper to find twice than to keep
+    found = bare.mapInArrow(anchored, "key long, place int, gram long")
     often = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     again = written(found.join(often, "gram").select("key", "place", "gram").distinct().groupBy("key").agg(F.collect_list(F.struct("place", "gram")).alias("wanted")), "repeated-anchors")
     n = again.agg(F.sum(F.size("wanted"))).first()[0] or 0
     asked = bare.join(again.hint("shuffle_hash"), "key").select("key", "__text", "wanted")
-    runs = written(runs_of(asked, rules, 1 + n // rules.partition_entries), "suffix-runs")
-    sorted_runs = runs.filter("part >= 0").select("part", "run", "nth", "blob").repartition("part").sortWithinPartitions("part", "run", "nth").select("part", "run", "blob")
-    spans = repeats(sorted_runs, rules).union(runs.filter("part < 0").select("key", "start", "stop"))
+    runs = runs_of(asked, rules, 1 + n // rules.partition_entries)
+    spans = repeats(runs.repartition("part").sortWithinPartitions("part", "run", "nth"), rules)
     spans = spans.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     out = keyed.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", *(f"__keep_{c}" for c in keep), "__text", "spans")
     width = 1 + len(keep)
