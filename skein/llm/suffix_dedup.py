@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import written
-from .text import Slice, flat, mix, slices
+from .text import Slice, mix, slices
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,7 @@ class RepeatRules:
 
     length: int = 400
     gram: int = 32
-    run_bytes: int = 32 << 20
+    run_bytes: int = 16 << 20
     partition_entries: int = 20_000
 
 
@@ -253,11 +253,10 @@ def runs_of(asked: DataFrame, rules: RepeatRules, partitions: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([nth], pa.int64()), pa.array([blob], pa.binary()), zero, zero, zero], names=names)
             contexts.clear()
 
-        for batch in batches:
+        for s in slices(batches, "__text"):
             found = []
-            data, off = flat(batch.column(1))
-            raw = data.tobytes()
-            keys, wanted = batch.column(0).to_pylist(), batch.column(2)
+            raw, off = s.raw(), s.off
+            keys, wanted = s.rows.column(0).to_pylist(), s.rows.column(2)
             cut = wanted.offsets.to_numpy()
             fields = wanted.values
             places, hashes = fields.field(0).to_numpy(), fields.field(1).to_numpy().view(np.uint64)
@@ -382,9 +381,8 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), keep: tu
     last = "kept_sha256" if digests else "text"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = flat(batch.column(width))
-            raw = data.tobytes()
+        for s in slices(batches, "__text"):
+            raw, off, batch = s.raw(), s.off, s.rows
             rows = []
             column = batch.column(width + 1)
             ends = column.offsets.to_numpy()

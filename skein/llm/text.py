@@ -44,15 +44,18 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[Slice]:
+    """Rows of about ``limit`` bytes at a time. Only the slice is copied, and freed memory goes back to the system."""
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         if not batch.num_rows:
             continue
-        data, off = flat(batch.column(batch.schema.get_field_index(column)))
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         lo = 0
         while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
-            hi = min(hi, batch.num_rows)
-            yield Slice(batch.slice(lo, hi - lo), data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + limit, side="right")) - 1)
+            some = batch.slice(lo, hi - lo)
+            yield Slice(some, *flat(some.column(batch.schema.get_field_index(column))))
             lo = hi
 
 
