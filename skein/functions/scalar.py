@@ -43,7 +43,7 @@ def division(a: Column, b: Column, whole: bool) -> Column:
 
 def modulus(a: Column, b: Column, kind: T.DataType) -> Column:
     """Truncating remainder in the divisor's type."""
-    return guarded(b == 0, "division by zero", F.call_function("%", a, b).cast(kind), kind.simpleString())
+    return guarded(b == 0, "division by zero", (a % b).cast(kind), kind.simpleString())
 
 
 def power(a: Column, b: Column) -> Column:
