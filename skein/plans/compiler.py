@@ -210,7 +210,7 @@ class Compiler:
             found = inner.df.select(*[col(k) for k in inner.carry]).distinct()
             return replace(t, df=t.df.join(found, self.same(keys, inner.carry), "left_anti" if no else "left_semi"))
         t2, e = self.with_subqueries(t, e)
-        kept = t2.df.filter(self.expr(e, t2))
+        kept = t2.df.filter(self.truth(e, t2))
         return replace(t, df=kept.select(*map(col, t.df.columns)) if t2 is not t else kept)
 
     @staticmethod
@@ -577,6 +577,28 @@ class Compiler:
             return F.lit(None)
         raise GqlError(f"a value of {kind.simpleString()} has no property {e.data}", "22G03")
 
+    def truth(self, e: Ex, t: Table) -> Column:
+        """A condition of which only true counts: guards are conjuncts of their own, so that plain comparisons reach the scan."""
+        if e.op in ("and", "or"):
+            a, b = (self.truth(x, t) for x in e.args)
+            return a & b if e.op == "and" else a | b
+        if e.op == "compare":
+            a, b = (self.expr(x, t) for x in e.args)
+            kinds = self.dtype(a, t), self.dtype(b, t)
+            if not any(isinstance(k, T.ArrayType | T.StructType) for k in kinds):
+                out = self.compared(e.data, a, b)
+                for x, c, k in zip(e.args, (a, b), kinds, strict=True):
+                    # a NaN lies above all numbers here, so a lesser or equal number on its other side is never true by mistake
+                    above = {"<": 1, "<=": 1, ">": 0, ">=": 0}.get(e.data)
+                    if isinstance(k, scalar.FLOATING) and x.op != "lit" and not (above is not None and e.args.index(x) != above and e.args[above].op == "lit") and not (e.data == "=" and any(y.op == "lit" for y in e.args)):
+                        out = out & ~F.isnan(c)
+                return out
+        return self.expr(e, t)
+
+    @staticmethod
+    def compared(op: str, a: Column, b: Column) -> Column:
+        return {"=": lambda: a == b, "<>": lambda: a != b, "<": lambda: a < b, "<=": lambda: a <= b, ">": lambda: a > b, ">=": lambda: a >= b}[op]()
+
     def e_and(self, e: Ex, t: Table) -> Column:
         return self.expr(e.args[0], t) & self.expr(e.args[1], t)
 
@@ -596,7 +618,7 @@ class Compiler:
         if e.data in ("=", "<>") and isinstance(ka, T.ArrayType | T.StructType) and type(ka) is type(kb):
             out = equal(a, b, ka, kb)
             return out if e.data == "=" else ~out
-        out = {"=": lambda: a == b, "<>": lambda: a != b, "<": lambda: a < b, "<=": lambda: a <= b, ">": lambda: a > b, ">=": lambda: a >= b}[e.data]()
+        out = self.compared(e.data, a, b)
         floats = [x for x, k in ((a, ka), (b, kb)) if isinstance(k, scalar.FLOATING)]
         literal = [x.op == "lit" for x in e.args]
         if floats and not all(literal):
