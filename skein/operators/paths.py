@@ -109,7 +109,7 @@ def scan(c: Compiler, t: Table, node: NodePattern, chain: Chain, m: Match) -> Ta
     df = scan_node(c, node.label)
     df = df.select(*prefixed(df, node.var))
     joined = df if t.df is None else t.df.crossJoin(df)
-    return restrict(c, Table(joined, {**t.scope, node.var: Bound("node")}, t.carry), node)
+    return restrict(c, Table(joined, {**t.scope, node.var: Bound("node", node.label)}, t.carry), node)
 
 
 def refine(c: Compiler, t: Table, node: NodePattern) -> Table:
@@ -196,7 +196,7 @@ def step(c: Compiler, m: Match, t: Table, here: NodePattern, edge: EdgePattern,
     df = path.extend(t.df.join(hops, on), col(end), col(name), col("#d"), back).drop("#f", "#d")
     if again:
         df = df.drop(*[x for x in df.columns if x == name or x.startswith(name + ".")])
-    scope = {**t.scope, edge.var: Bound("edge")}
+    scope = {**t.scope, edge.var: Bound("edge", edge.label)}
     t = restrict(c, Table(df, scope, t.carry), edge)
     return arrive(c, m, t, edge, there, end, closed, back), (edge.var, False)
 
@@ -208,11 +208,11 @@ def arrive(c: Compiler, m: Match, t: Table, edge: EdgePattern, there: NodePatter
     unasked = not there.props and there.where is None
     wanted = named_props(c) or set()
     if unasked and known_end(c, edge, there, back) and not properties_of(c, there, wanted):
-        return Table(t.df.withColumnRenamed(end, there.var), {**t.scope, there.var: Bound("node")}, t.carry)
+        return Table(t.df.withColumnRenamed(end, there.var), {**t.scope, there.var: Bound("node", there.label)}, t.carry)
     nodes = scan_node(c, there.label)
     nodes = nodes.select(*prefixed(nodes, there.var))
     df = t.df.join(nodes, col(end) == col(there.var)).drop(end)
-    return restrict(c, Table(df, {**t.scope, there.var: Bound("node")}, t.carry), there)
+    return restrict(c, Table(df, {**t.scope, there.var: Bound("node", there.label)}, t.carry), there)
 
 
 def properties_of(c: Compiler, node: NodePattern, wanted: set) -> bool:
@@ -280,11 +280,11 @@ def quantified(c: Compiler, m: Match, t: Table, here: NodePattern, edge: EdgePat
     if closed:
         return refine(c, Table(t.df.drop(end), t.scope, t.carry), there)
     if low > 0 and not there.props and there.where is None and known_end(c, edge, there, back) and not properties_of(c, there, named_props(c) or set()):
-        return Table(t.df.withColumnRenamed(end, there.var), {**t.scope, there.var: Bound("node")}, t.carry)
+        return Table(t.df.withColumnRenamed(end, there.var), {**t.scope, there.var: Bound("node", there.label)}, t.carry)
     nodes = scan_node(c, there.label)
     nodes = nodes.select(*prefixed(nodes, there.var))
     df = t.df.join(nodes, col(end) == col(there.var)).drop(end)
-    return restrict(c, Table(df, {**t.scope, there.var: Bound("node")}, t.carry), there)
+    return restrict(c, Table(df, {**t.scope, there.var: Bound("node", there.label)}, t.carry), there)
 
 
 def nearest_only(frontier: DataFrame, levels: list[DataFrame], selector: tuple, origin: list[str]) -> DataFrame:

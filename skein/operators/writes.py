@@ -16,7 +16,7 @@ from skein.plans.compiler import Bound, Compiler, Table, col
 from skein.plans.parser import GqlError
 from skein.plans.syntax import Change, NodePattern
 from skein.sources.durable import written
-from skein.sources.graph import EdgeTable, NodeTable, PropertyGraph
+from skein.sources.graph import EdgeTable, NodeTable, PropertyGraph, label_fits
 
 
 def numbered(c: Compiler, t: Table) -> Table:
@@ -87,7 +87,7 @@ def insert(c: Compiler, change: Change, t: Table) -> Table:
     df, scope = t.df, dict(t.scope)
     for k, x in enumerate(new):
         df = df.withColumn(x.var, F.lit(base + k * width) + col("#row"))
-        scope[x.var] = Bound("node" if isinstance(x, NodePattern) else "edge")
+        scope[x.var] = Bound("node" if isinstance(x, NodePattern) else "edge", x.label)
     wide = Table(df, scope, t.carry)
     for x in new:
         if isinstance(x, NodePattern):
@@ -121,6 +121,11 @@ def bound(t: Table, var: str) -> str:
     return kind
 
 
+def meant(t: Table, var: str, x: NodeTable | EdgeTable) -> bool:
+    """Whether a table can hold what the variable is bound to."""
+    return label_fits(t.scope[var].label, x.labels if isinstance(x, NodeTable) else frozenset([x.label]))
+
+
 def update(c: Compiler, t: Table, var: str, key: str, value: Any) -> None:
     """Set a property; of several rows for one element the last wins."""
     kind = bound(t, var)
@@ -131,9 +136,9 @@ def update(c: Compiler, t: Table, var: str, key: str, value: Any) -> None:
         return df.join(new, F.col("id") == col("#id"), "left").withColumn(key, F.when(col("#id").isNotNull(), F.col("`#new`.v")).otherwise(old)).drop("#id", "#new")
 
     if kind == "node":
-        replaced(c, nodes=[NodeTable(x.labels, one(x.df)) for x in c.graph.nodes])
+        replaced(c, nodes=[NodeTable(x.labels, one(x.df)) if meant(t, var, x) else x for x in c.graph.nodes])
     else:
-        replaced(c, edges=[EdgeTable(x.label, one(x.df), x.directed, x.ends) for x in c.graph.edges])
+        replaced(c, edges=[EdgeTable(x.label, one(x.df), x.directed, x.ends) if meant(t, var, x) else x for x in c.graph.edges])
 
 
 def relabel(c: Compiler, t: Table, var: str, change) -> None:
@@ -141,9 +146,10 @@ def relabel(c: Compiler, t: Table, var: str, change) -> None:
         raise GqlError("an edge keeps its label")
     hit = t.df.filter(col(var).isNotNull()).select(col(var).alias("id")).distinct()
     tables = c.graph.nodes
-    replaced(c, nodes=[NodeTable(x.labels, x.df.join(hit, "id", "left_anti") if change(x.labels) != x.labels else x.df) for x in tables])
+    moves = lambda x: meant(t, var, x) and change(x.labels) != x.labels
+    replaced(c, nodes=[NodeTable(x.labels, x.df.join(hit, "id", "left_anti")) if moves(x) else x for x in tables])
     for x in tables:
-        if change(x.labels) != x.labels:
+        if moves(x):
             add_node_rows(c, change(x.labels), x.df.join(hit, "id", "left_semi"))
 
 
@@ -151,6 +157,7 @@ def set_items(c: Compiler, change: Change, t: Table) -> Table:
     for kind, var, key, value in change.data:
         if kind == "label":
             relabel(c, t, var, lambda s, key=key: s | {key})
+            t = Table(t.df, {**t.scope, var: Bound("node")}, t.carry)  # what its pattern said may hold no more
         else:
             for k, e in [(key, value)] if kind == "property" else value:
                 v = c.expr(e, t)
@@ -163,6 +170,7 @@ def remove_items(c: Compiler, change: Change, t: Table) -> Table:
     for kind, var, key in change.data:
         if kind == "label":
             relabel(c, t, var, lambda s, key=key: s - {key})
+            t = Table(t.df, {**t.scope, var: Bound("node")}, t.carry)
             continue
         name = f"{var}.{key}"
         if name in t.df.columns:
@@ -176,21 +184,24 @@ def delete(c: Compiler, change: Change, t: Table) -> Table:
     """Edges, then nodes. A node with an edge that stays is an error, unless DETACH takes its edges along."""
     gone: dict = {"node": [], "edge": []}
     for var in change.data:
-        gone[bound(t, var)].append(t.df.filter(col(var).isNotNull()).select(col(var).alias("id")))
-    union = lambda parts: written(reduce(lambda a, b: a.union(b), parts).distinct(), "deleted")
+        gone[bound(t, var)].append((var, t.df.filter(col(var).isNotNull()).select(col(var).alias("id"))))
+    union = lambda parts: written(reduce(lambda a, b: a.union(b), [df for _, df in parts]).distinct(), "deleted")
+    hit = lambda x, parts: any(meant(t, var, x) for var, _ in parts)
     edges = list(c.graph.edges)
     if gone["edge"]:
         dead = union(gone["edge"])
-        edges = [EdgeTable(x.label, x.df.join(dead, "id", "left_anti"), x.directed, x.ends) for x in edges]
+        edges = [EdgeTable(x.label, x.df.join(dead, "id", "left_anti"), x.directed, x.ends) if hit(x, gone["edge"]) else x for x in edges]
     if gone["node"]:
         dead = union(gone["node"])
         ends = dead.select(F.col("id").alias("#n"))
-        if not change.detach:
-            for x in edges:
-                if not x.df.join(ends, (F.col("src") == col("#n")) | (F.col("dst") == col("#n")), "left_semi").isEmpty():
-                    raise GqlError(f"a node to delete has a {x.label} edge", "G1001")
-        edges = [EdgeTable(x.label, x.df.join(ends, F.col("src") == col("#n"), "left_anti").join(ends, F.col("dst") == col("#n"), "left_anti"), x.directed, x.ends) for x in edges]
-        replaced(c, nodes=[NodeTable(x.labels, x.df.join(dead, "id", "left_anti")) for x in c.graph.nodes])
+        tables = [x for x in c.graph.nodes if hit(x, gone["node"])]
+        near = [not all(x.ends) or any(end <= table.labels for end in x.ends for table in tables) for x in edges]
+        for x in [x for x, is_near in zip(edges, near, strict=True) if is_near and not change.detach]:
+            if not x.df.join(ends, (F.col("src") == col("#n")) | (F.col("dst") == col("#n")), "left_semi").isEmpty():
+                raise GqlError(f"a node to delete has a {x.label} edge", "G1001")
+        if change.detach:
+            edges = [EdgeTable(x.label, x.df.join(ends, F.col("src") == col("#n"), "left_anti").join(ends, F.col("dst") == col("#n"), "left_anti"), x.directed, x.ends) if is_near else x for x, is_near in zip(edges, near, strict=True)]
+        replaced(c, nodes=[NodeTable(x.labels, x.df.join(dead, "id", "left_anti")) if x in tables else x for x in c.graph.nodes])
     replaced(c, edges=edges)
     return t
 

@@ -58,10 +58,10 @@ def col(name: str) -> Column:
 
 @dataclass(frozen=True)
 class Bound:
-    """kind: node, edge, edges (quantified), path or value. label: what is known of a node's or edge's labels."""
+    """kind: node, edge, edges (quantified), path or value. label: the label expression that a node or edge is known to fit, if any."""
 
     kind: str
-    tables: tuple = ()
+    label: Any = None
 
 
 @dataclass(frozen=True)

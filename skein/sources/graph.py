@@ -8,7 +8,7 @@ read; columns that a query does not name are never scanned.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,20 +32,30 @@ def label_fits(expr: Any, labels: frozenset) -> bool:
     return all(test) if op == "and" else any(test)
 
 
+class Deferred:
+    """``source``: a DataFrame, or a function that reads it when a query first picks the table."""
+
+    source: Any
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source() if callable(self.source) else self.source
+
+
 @dataclass(frozen=True)
-class NodeTable:
+class NodeTable(Deferred):
     """df: id (long, unique in the graph) and properties."""
 
     labels: frozenset
-    df: DataFrame
+    source: Any
 
 
 @dataclass(frozen=True)
-class EdgeTable:
+class EdgeTable(Deferred):
     """df: id, src, dst (long) and properties. ends: the labels that all sources and all targets have, where they are known."""
 
     label: str
-    df: DataFrame
+    source: Any
     directed: bool = True
     ends: tuple[frozenset, frozenset] = (frozenset(), frozenset())
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,26 +33,32 @@ def node_id(label: str, key: str):
 
 def orders_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Tables are read when a query picks their label, and only in the columns it names."""
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    nodes = [NodeTable(frozenset([label]), read(name).select(node_id(label, key).alias("id"), "*")) for label, name, key in NODES]
-    events = read("events")
-    nodes.append(NodeTable(frozenset(["User"]), events.select("user_id").distinct().select(node_id("User", "user_id").alias("id"), "user_id")))
+    read = lru_cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+    def node(label: str, name: str, key: str) -> NodeTable:
+        return NodeTable(frozenset([label]), lambda: read(name).select(node_id(label, key).alias("id"), "*"))
 
-    def edge(label: str, df: DataFrame, source: tuple, target: tuple, key, *props) -> EdgeTable:
+    def edge(label: str, table: Callable, source: tuple, target: tuple, number: int, key: Any, *props: Any) -> EdgeTable:
         ends = frozenset([source[0]]), frozenset([target[0]])
-        return EdgeTable(label, df.select(key.alias("id"), node_id(*source).alias("src"), node_id(*target).alias("dst"), *props), True, ends)
+        first = F.lit(100 + number << 50)
+        return EdgeTable(label, lambda: table().select((first + key.cast("long")).alias("id"), node_id(*source).alias("src"), node_id(*target).alias("dst"), *props), True, ends)
+
+    def pairs() -> DataFrame:
+        return read("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("weight"))
+
+    def after() -> DataFrame:
+        w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+        return read("events").withColumn("next_id", F.lead("event_id").over(w)).filter("next_id is not null")
 
-    line = read("lineitem")
-    per_pair = line.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("weight"))
-    after = events.withColumn("next_id", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter("next_id is not null")
-    number = lambda i, e: F.lit(100 + i << 50) + e
+    users = NodeTable(frozenset(["User"]), lambda: read("events").select("user_id").distinct().select(node_id("User", "user_id").alias("id"), "user_id"))
+    col = F.col
     edges = (
-        edge("IN_REGION", read("nation"), ("Nation", "n_nationkey"), ("Region", "n_regionkey"), number(0, F.col("n_nationkey").cast("long"))),
-        edge("IN_NATION", read("customer"), ("Customer", "c_custkey"), ("Nation", "c_nationkey"), number(1, F.col("c_custkey"))),
-        edge("IN_NATION", read("supplier"), ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), number(2, F.col("s_suppkey"))),
-        edge("PLACED", read("orders"), ("Customer", "o_custkey"), ("Order", "o_orderkey"), number(3, F.col("o_orderkey")), F.col("o_totalprice").alias("totalprice"), F.col("o_orderdate").alias("orderdate")),
-        edge("CONTAINS", line, ("Order", "l_orderkey"), ("Part", "l_partkey"), number(4, F.col("l_orderkey") * 16 + F.col("l_linenumber")), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount")),
-        edge("SUPPLIED", per_pair, ("Supplier", "l_suppkey"), ("Part", "l_partkey"), number(5, F.col("l_suppkey") * (1 << 24) + F.col("l_partkey")), "weight"),
-        edge("NEXT", after, ("Event", "event_id"), ("Event", "next_id"), number(6, F.col("event_id"))),
+        edge("IN_REGION", lambda: read("nation"), ("Nation", "n_nationkey"), ("Region", "n_regionkey"), 0, col("n_nationkey")),
+        edge("IN_NATION", lambda: read("customer"), ("Customer", "c_custkey"), ("Nation", "c_nationkey"), 1, col("c_custkey")),
+        edge("IN_NATION", lambda: read("supplier"), ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), 2, col("s_suppkey")),
+        edge("PLACED", lambda: read("orders"), ("Customer", "o_custkey"), ("Order", "o_orderkey"), 3, col("o_orderkey"), col("o_totalprice").alias("totalprice"), col("o_orderdate").alias("orderdate")),
+        edge("CONTAINS", lambda: read("lineitem"), ("Order", "l_orderkey"), ("Part", "l_partkey"), 4, col("l_orderkey") * 16 + col("l_linenumber"), col("l_quantity").alias("quantity"), col("l_extendedprice").alias("price"), col("l_discount").alias("discount")),
+        edge("SUPPLIED", pairs, ("Supplier", "l_suppkey"), ("Part", "l_partkey"), 5, col("l_suppkey") * (1 << 24) + col("l_partkey"), "weight"),
+        edge("NEXT", after, ("Event", "event_id"), ("Event", "next_id"), 6, col("event_id")),
     )
-    return PropertyGraph(spark, tuple(nodes), edges)
+    return PropertyGraph(spark, (*(node(*n) for n in NODES), users), edges)
