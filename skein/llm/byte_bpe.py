@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import piece_starts
-from .text import Slice, slices, sums
+from .text import Slice, slices, sums, tidy
 from .token_counts import unique_pieces
 from .vocabulary import vocabulary_path
 
@@ -163,4 +163,4 @@ def encode_and_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken"
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     kinds = ["string", "string"] if digests else ["array<int>", "string"]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
-    return picked.mapInArrow(run, f"{head}, n_tokens long, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}")
+    return picked.mapInArrow(tidy(run), f"{head}, n_tokens long, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}")

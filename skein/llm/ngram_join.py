@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .durable import written
-from .text import Slice, mix, range_hashes, slices, word_bounds
+from .text import Slice, mix, range_hashes, slices, tidy, word_bounds
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ def signed(picked: DataFrame, spec: JaccardJoin) -> DataFrame:
             yield pa.RecordBatch.from_arrays([s.rows.column(0), s.rows.column(1), column, lists(bands.ravel(), np.cumsum(off))], names=["key", "doc_id", "node", "bands"])
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"key long, doc_id {kind}, node long, bands array<long>")
+    return picked.mapInArrow(tidy(run), f"key long, doc_id {kind}, node long, bands array<long>")
 
 
 def gram_sets(rows: DataFrame, spec: JaccardJoin) -> DataFrame:
@@ -141,7 +141,7 @@ def gram_sets(rows: DataFrame, spec: JaccardJoin) -> DataFrame:
             width = bands.shape[1]
             yield pa.RecordBatch.from_arrays([*(rest.column(i) for i in range(4)), lists(np.concatenate(sets), off), lists(bands[at[own]].ravel(), np.arange(len(own) + 1) * width)], names=["root", "size", "node", "copies", "set", "bands"])
 
-    return rows.mapInArrow(run, "root long, size long, node long, copies long, set array<long>, bands array<long>")
+    return rows.mapInArrow(tidy(run), "root long, size long, node long, copies long, set array<long>, bands array<long>")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -224,7 +224,7 @@ def verified(rows: DataFrame, spec: JaccardJoin) -> DataFrame:
             links, other = verify(node, copies, side, sets, bands, spec.similarity)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links.astype(np.int64)), pa.array(other)], names=["node", "links", "other"])
 
-    return rows.mapInArrow(run, "node long, links long, other long")
+    return rows.mapInArrow(tidy(run), "node long, links long, other long")
 
 
 def near_duplicates(docs: DataFrame, spec: JaccardJoin = JaccardJoin(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

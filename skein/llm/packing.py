@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from .byte_bpe import repeated
 from .durable import written
 from .pieces import BLANK, LL, NUMBER, QUOTE, SHORT, E, R, V, classes
-from .text import numbered
+from .text import numbered, tidy
 from .vocabulary import library_tokenizer, vocabulary_path
 
 WINDOW = 4096
 END_ID = 2
 MOST_COLUMNS = 20_000
 SWEEPS = 25
-MOST_KNOWN = 500_000
+MOST_KNOWN = 300_000
 
 class PieceIds:
     """Ids of texts, piece by piece.
@@ -170,7 +170,7 @@ def cut_documents(docs: DataFrame, window: int, vocabulary: str, folder: str | N
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row, pa.int64())), *own], names=names)
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part long, nth long" + ", ids binary" * with_ids)
+    return picked.mapInArrow(tidy(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part long, nth long" + ", ids binary" * with_ids)
 
 
 def combinations(lengths: list[int], window: int, most: int = MOST_COLUMNS) -> list[tuple[int, ...]]:
@@ -294,4 +294,4 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, vocabulary: str = "wor
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
     head = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return ranked.mapInArrow(place, f"{head}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), f"{head}, sequence_id long, offset long")

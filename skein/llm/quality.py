@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Slice, codes, line_bounds, slices, sums, word_bounds
+from .text import Slice, codes, line_bounds, slices, sums, tidy, word_bounds
 
 
 @dataclass(frozen=True)
@@ -169,4 +169,4 @@ def judge_repetition(docs: DataFrame, rules: RepetitionRules = RULES, keep: tupl
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(found[n]) for n in names)], names=[*keep, *names])
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
-    return picked.mapInArrow(run, f"{head}, {COLUMNS}")
+    return picked.mapInArrow(tidy(run), f"{head}, {COLUMNS}")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import written
-from .text import Slice, mix, slices
+from .text import Slice, mix, slices, tidy
 
 
 @dataclass(frozen=True)
@@ -287,7 +287,7 @@ def runs_of(asked: DataFrame, rules: RepeatRules, partitions: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.to_numpy() % partitions), *none, keys, starts, stops], names=names)
         yield from sent()
 
-    return asked.mapInArrow(run, "part long, run string, nth long, blob binary, key long, start long, stop long")
+    return asked.mapInArrow(tidy(run), "part long, run string, nth long, blob binary, key long, start long, stop long")
 
 
 def repeats(runs: DataFrame, rules: RepeatRules) -> DataFrame:
@@ -323,7 +323,7 @@ def repeats(runs: DataFrame, rules: RepeatRules) -> DataFrame:
         if held:
             yield from of(held)
 
-    return runs.mapInArrow(run, "key long, start long, stop long")
+    return runs.mapInArrow(tidy(run), "key long, start long, stop long")
 
 
 def without(raw: bytes, spans: list) -> tuple[bytes, int, int]:
@@ -368,7 +368,7 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), keep: tu
             yield pa.RecordBatch.from_arrays([s.rows.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(gram.view(np.int64))], names=["key", "place", "gram"])
 
     # anchors are cheaper to find twice than to keep
-    found = bare.mapInArrow(anchored, "key long, place int, gram long")
+    found = bare.mapInArrow(tidy(anchored), "key long, place int, gram long")
     often = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     again = written(found.join(often, "gram").select("key", "place", "gram").distinct().groupBy("key").agg(F.collect_list(F.struct("place", "gram")).alias("wanted")), "repeated-anchors")
     n = again.agg(F.sum(F.size("wanted"))).first()[0] or 0
@@ -396,4 +396,4 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), keep: tu
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(width)), *more], names=["doc_id", *keep, "n_bytes", "n_removed", "n_spans", last])
 
     head = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip(["doc_id", *keep], out.schema.fields, strict=False))
-    return out.mapInArrow(cut, f"{head}, n_bytes long, n_removed long, n_spans long, {last} string")
+    return out.mapInArrow(tidy(cut), f"{head}, n_bytes long, n_removed long, n_spans long, {last} string")

@@ -7,7 +7,8 @@ A null text counts as empty throughout.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,9 +44,24 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def tidy(run: Callable) -> Callable:
+    """A worker's function that gives freed memory back to the system, as the worker lives on with other tasks' functions."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return tidied
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Rows of about ``limit`` bytes at a time. Only the slice is copied, and freed memory goes back to the system."""
-    pa.set_memory_pool(pa.system_memory_pool())
+    """Rows of about ``limit`` bytes at a time; only the slice is copied."""
     for batch in batches:
         if not batch.num_rows:
             continue

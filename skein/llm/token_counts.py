@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import piece_starts
-from .text import Slice, slices, sums
+from .text import Slice, slices, sums, tidy
 from .vocabulary import vocabulary_path
 
 
@@ -211,4 +211,4 @@ def count_tokens(docs: DataFrame, limit: int = 1024, vocabulary: str = "byte_bpe
             yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(s.off)), pa.array(n), pa.array(n > limit)], names=[*keep, "n_bytes", "n_tokens", "over_limit"])
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
-    return picked.mapInArrow(run, f"{head}, n_bytes long, n_tokens long, over_limit boolean")
+    return picked.mapInArrow(tidy(run), f"{head}, n_bytes long, n_tokens long, over_limit boolean")
