@@ -369,7 +369,8 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), keep: tu
 
     # anchors are cheaper to find twice than to keep
     found = bare.mapInArrow(tidy(anchored), "key long, place int, gram long")
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # written, so that the join meets two plain exchanges and a hot gram can be split
+    often = written(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "repeated-grams")
     again = written(found.join(often, "gram").select("key", "place", "gram").distinct().groupBy("key").agg(F.collect_list(F.struct("place", "gram")).alias("wanted")), "repeated-anchors")
     n = again.agg(F.sum(F.size("wanted"))).first()[0] or 0
     asked = bare.join(again.hint("shuffle_hash"), "key").select("key", "__text", "wanted")
