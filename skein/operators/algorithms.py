@@ -25,7 +25,7 @@ from skein.sources.graph import PropertyGraph
 from .components import components
 
 #: Most edges that betweenness broadcasts.
-MOST_BROADCAST_EDGES = 20_000_000
+MOST_BROADCAST_EDGES = 10_000_000
 
 
 @dataclass(frozen=True)
@@ -345,7 +345,8 @@ def betweenness(p: Projection, sample_size: int | None = None, parallelism: int
         sources, scale = numbered.filter(F.col("at").isin(places)).select("id"), n / k
     else:
         sources, scale = p.vertices, 1.0
-    pairs = np.array(arcs.collect(), dtype=np.int64).reshape(-1, 2)
+    table = arcs.toArrow()
+    pairs = np.stack([table[c].to_numpy() for c in ("src", "dst")], axis=1)
     names, inverse = np.unique(pairs, return_inverse=True)
     inverse = inverse.reshape(-1, 2)
     order = np.argsort(inverse[:, 0], kind="stable")
