@@ -275,6 +275,8 @@ def spark_type(kind: tuple) -> str:
     name, args = kind
     if name in ("DECIMAL", "NUMERIC", "DEC"):
         return f"decimal({args[0] if args else 38},{args[1] if len(args) > 1 else 10 if not args else 0})"
+    if name == "RECORD":
+        return "struct<" + ",".join(f"`{n}`:{spark_type(t)}" for n, t in args if isinstance(n, str)) + ">"
     if name in ("LIST", "ARRAY"):
         return f"array<{spark_type(args[0]) if args else 'string'}>"
     if name not in TYPES:

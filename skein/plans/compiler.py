@@ -667,8 +667,16 @@ class Compiler:
         return x.isNull() if e.data == "UNKNOWN" else x.eqNullSafe(F.lit(e.data == "TRUE"))
 
     def e_is_typed(self, e: Ex, t: Table) -> Column:
-        kind = self.dtype(self.expr(e.args[0], t), t)
-        return F.lit(kind.simpleString() == T._parse_datatype_string(scalar.spark_type(e.data)).simpleString())
+        x = self.expr(e.args[0], t)
+        kind = self.dtype(x, t)
+
+        def fits(name: str, args: tuple) -> bool:
+            if name == "UNION":
+                return any(fits(*a) for a in args)
+            return name == "ANY" or isinstance(kind, T.NullType) or kind.simpleString() == T._parse_datatype_string(scalar.spark_type((name, args))).simpleString()
+
+        strict = x.isNotNull() if "NOT NULL" in e.data[1] else F.lit(True)
+        return strict & F.lit(fits(e.data[0], tuple(a for a in e.data[1] if a != "NOT NULL")))
 
     def e_is_normalized(self, e: Ex, t: Table) -> Column:
         x = self.expr(e.args[0], t)

@@ -261,5 +261,35 @@ def test_catalog_and_session(spark):
         s.execute("RETURN 1 AS x")
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "MATCH SHORTEST 2 TRAIL PATHS GROUPS (a)-[:E]->(b) RETURN b",
+        "CREATE PROPERTY GRAPH g TYPED ANY PROPERTY GRAPH",
+        "CREATE GRAPH TYPE IF NOT EXISTS t { NODE TYPE Person () }",
+        "CREATE NODE TYPE :Child EXTENDS :Parent (name :: STRING)",
+        "ALTER EDGE TYPE :E (FROM :A, :B TO :C, x :: FLOAT)",
+        "DROP NODE TYPE :N CASCADE",
+        "SESSION RESET PARAMETERS",
+        "USE /memory/main MATCH (n) RETURN n",
+        "AT /memory RETURN 1 AS x",
+        "CREATE SCHEMA IF NOT EXISTS /s",
+        "CREATE NODE TYPE :N => (a :: UNSIGNED INTEGER8, b :: DOUBLE PRECISION, c :: DURATION (DAY TO SECOND), d :: STRING LIST NOT NULL)",
+        "RETURN @'a\\nb' AS raw, DATE @'2026-05-07' AS d",
+    ],
+)
+def test_forms_parse(text):
+    assert parse(text)
+
+
+def test_types_and_yields(graph):
+    assert rows(graph, "RETURN NULL IS TYPED ANY AS a, 1 IS TYPED STRING | INTEGER AS b, {x: 'a'} IS TYPED RECORD {x :: STRING} AS c, NULL IS TYPED INT NOT NULL AS d") == [(True, True, True, False)]
+    assert rows(graph, "LET seed = 0 CALL { RETURN 1 AS n, 2 AS m } YIELD n AS k RETURN seed, k") == [(0, 1)]
+    assert rows(graph, "RETURN CAST([1, 2] AS STRING ARRAY) AS x") == [(["1", "2"],)]
+    for bad in ("RETURN 1 IS TYPED INT256 AS x", "MATCH ANY 2 SHORTEST (a)-[:E]->(b) RETURN b", "MATCH (n) RETURN * GROUP BY ()", "CREATE SCHEMA s"):
+        with pytest.raises(GqlError):
+            parse(bad)
+
+
 def test_numbers_and_strings_parse():
     assert parse("RETURN 0b101 AS x, 1_000 AS y, 1.5e3 AS z, 'it''s' AS s, '\\u0041' AS u")
