@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.plans.compiler import Bound, Compiler, Table, col, names_used, trees
+from skein.plans.compiler import Bound, Compiler, Table, col, names_used
 from skein.plans.parser import GqlError
 from skein.plans.syntax import Chain, EdgePattern, Ex, Match, NodePattern
 from skein.sources.durable import written
-from skein.sources.graph import label_fits
+from skein.sources.graph import PropertyGraph, label_fits
 
 MOST_HOPS = 100
 UNROLLED = 6
@@ -92,11 +92,6 @@ def named_props(c: Compiler) -> set | None:
     return c.ctx.used
 
 
-def asked(c: Compiler, m: Any, node: NodePattern) -> bool:
-    """Whether something of a node is asked that its endpoint id does not tell."""
-    return bool(node.props or node.where is not None or node.named)
-
-
 def scan_node(c: Compiler, label: Any) -> DataFrame:
     return c.graph.scan_nodes(label, named_props(c))
 
@@ -109,7 +104,7 @@ def scan(c: Compiler, t: Table, node: NodePattern, chain: Chain, m: Match) -> Ta
     df = scan_node(c, node.label)
     df = df.select(*prefixed(df, node.var))
     joined = df if t.df is None else t.df.crossJoin(df)
-    return restrict(c, Table(joined, {**t.scope, node.var: Bound("node", node.label)}, t.carry), node)
+    return restrict(c, Table(joined, {**t.scope, node.var: Bound("node", node.label)}, t.carry, node.var if t.df is None else None), node)
 
 
 def refine(c: Compiler, t: Table, node: NodePattern) -> Table:
@@ -134,16 +129,15 @@ def restrict(c: Compiler, t: Table, x: NodePattern | EdgePattern) -> Table:
     return c.filtered(t, x.where)
 
 
-def known_end(c: Compiler, edge: EdgePattern, node: NodePattern, back: bool) -> bool:
-    """Whether every edge that fits ends at nodes that fit, by what the tables state."""
-    if edge.ways - {"R", "L"}:
+def known_end(g: PropertyGraph, edge: EdgePattern, ways: frozenset, label: Any) -> bool:
+    """Whether every step leads to nodes that fit the label, by what the graph's tables state. ways: as the step is taken."""
+    if ways - {"R", "L"}:
         return False
-    for table in c.graph.edge_tables(edge.label):
-        for way in edge.ways:
-            end = table.ends[0 if (way == "L") != back else 1]
-            if not end or not label_fits(node.label, end) and node.label is not None:
-                return False
-            if node.label is not None and any(x.op == "not" for x in trees(node.label) if isinstance(x, Ex)):
+    for table in g.edge_tables(edge.label):
+        for way in ways:
+            end = table.ends[1 if way == "R" else 0]
+            there = [x for x in g.nodes if end <= x.labels]
+            if not end or not all(label_fits(label, x.labels) for x in there):
                 return False
     return True
 
@@ -182,7 +176,8 @@ def step(c: Compiler, m: Match, t: Table, here: NodePattern, edge: EdgePattern,
     if edge.quantifier is not None:
         t = quantified(c, m, t, here, edge, there, ways, back, path)
         return t, (edge.var, edge.quantifier != "?")
-    hops = c.graph.ways(edge.label, ways, named_props(c))
+    near = meeting(c, edge, ways, t.scope[here.var].label if here.label is None else here.label, there.label)
+    hops = near.ways(edge.label, ways, named_props(c))
     again = edge.var in t.scope
     name = c.ctx.fresh("e") if again else edge.var
     end = c.ctx.fresh("n")
@@ -198,16 +193,29 @@ def step(c: Compiler, m: Match, t: Table, here: NodePattern, edge: EdgePattern,
         df = df.drop(*[x for x in df.columns if x == name or x.startswith(name + ".")])
     scope = {**t.scope, edge.var: Bound("edge", edge.label)}
     t = restrict(c, Table(df, scope, t.carry), edge)
-    return arrive(c, m, t, edge, there, end, closed, back), (edge.var, False)
+    known = known_end(near, edge, ways, there.label)
+    return arrive(c, t, there, end, closed, known), (edge.var, False)
+
+
+def meeting(c: Compiler, edge: EdgePattern, ways: frozenset, here: Any, there: Any) -> PropertyGraph:
+    """The graph without edge tables whose ends are known to lie at nodes of other labels."""
+
+    def can(end: frozenset, label: Any) -> bool:
+        return not end or label is None or any(end <= x.labels and label_fits(label, x.labels) for x in c.graph.nodes)
+
+    kept = []
+    for e in c.graph.edge_tables(edge.label):
+        a, b = e.ends
+        if not e.directed or "R" in ways and can(a, here) and can(b, there) or "L" in ways and can(b, here) and can(a, there):
+            kept.append(e)
+    return c.graph.with_tables(edges=kept)
 
 
-def arrive(c: Compiler, m: Match, t: Table, edge: EdgePattern, there: NodePattern, end: str, closed: bool, back: bool) -> Table:
-    """Bind the node at the end of a step."""
+def arrive(c: Compiler, t: Table, there: NodePattern, end: str, closed: bool, known: bool) -> Table:
+    """Bind the node at the end of a step. known: its label needs no look."""
     if closed:
         return refine(c, Table(t.df.drop(end), t.scope, t.carry), there)
-    unasked = not there.props and there.where is None
-    wanted = named_props(c) or set()
-    if unasked and known_end(c, edge, there, back) and not properties_of(c, there, wanted):
+    if known and not there.props and there.where is None and not properties_of(c, there, named_props(c)):
         return Table(t.df.withColumnRenamed(end, there.var), {**t.scope, there.var: Bound("node", there.label)}, t.carry)
     nodes = scan_node(c, there.label)
     nodes = nodes.select(*prefixed(nodes, there.var))
@@ -215,8 +223,10 @@ def arrive(c: Compiler, m: Match, t: Table, edge: EdgePattern, there: NodePatter
     return restrict(c, Table(df, {**t.scope, there.var: Bound("node", there.label)}, t.carry), there)
 
 
-def properties_of(c: Compiler, node: NodePattern, wanted: set) -> bool:
+def properties_of(c: Compiler, node: NodePattern, wanted: set | None) -> bool:
     """Whether the query may look at more of a node than its id."""
+    if wanted is None:
+        return True
     return node.named and any(set(table.df.columns) & wanted for table in c.graph.node_tables(node.label)) or node.var in c.ctx.extra_vars
 
 
@@ -276,15 +286,8 @@ def quantified(c: Compiler, m: Match, t: Table, here: NodePattern, edge: EdgePat
     closed = there.var in t.scope
     if closed:
         df = df.filter(col(end) == col(there.var))
-    t = Table(df, scope, t.carry)
-    if closed:
-        return refine(c, Table(t.df.drop(end), t.scope, t.carry), there)
-    if low > 0 and not there.props and there.where is None and known_end(c, edge, there, back) and not properties_of(c, there, named_props(c) or set()):
-        return Table(t.df.withColumnRenamed(end, there.var), {**t.scope, there.var: Bound("node", there.label)}, t.carry)
-    nodes = scan_node(c, there.label)
-    nodes = nodes.select(*prefixed(nodes, there.var))
-    df = t.df.join(nodes, col(end) == col(there.var)).drop(end)
-    return restrict(c, Table(df, {**t.scope, there.var: Bound("node", there.label)}, t.carry), there)
+    known = low > 0 and known_end(c.graph, edge, ways, there.label)
+    return arrive(c, Table(df, scope, t.carry), there, end, closed, known)
 
 
 def nearest_only(frontier: DataFrame, levels: list[DataFrame], selector: tuple, origin: list[str]) -> DataFrame:

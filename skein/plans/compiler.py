@@ -66,12 +66,12 @@ class Bound:
 
 @dataclass(frozen=True)
 class Table:
-    """carry: columns that tell apart the rows of an outer query which this one runs for."""
+    """carry: columns that tell apart the rows of an outer query which this one runs for. unique: a variable whose values do not repeat, as it was just scanned."""
 
     df: DataFrame | None
     scope: dict
     carry: tuple = ()
-    hidden: tuple = ()
+    unique: str | None = None
 
     def owned(self, var: str) -> list[str]:
         return [c for c in self.df.columns if c == var or c.startswith(var + ".")] if self.df is not None else []
@@ -224,7 +224,9 @@ class Compiler:
             return self.query(sub, Table(None, {})) if not once else self.unit(self.query(sub, Table(None, {}))), []
         owned = [c for v in wanted for c in t.owned(v)]
         keys = list(wanted) if all(t.scope[v].kind in ("node", "edge") for v in wanted) else owned
-        seeds = t.df.select(*map(col, owned)).dropDuplicates(keys)
+        seeds = t.df.select(*map(col, owned))
+        if keys != [t.unique]:
+            seeds = seeds.dropDuplicates(keys)
         carry = tuple(self.ctx.fresh("k") for _ in keys)
         seeds = seeds.select(*map(col, owned), *[col(k).alias(n) for k, n in zip(keys, carry, strict=True)])
         inner = self.query(sub, Table(seeds, {v: t.scope[v] for v in wanted}, carry))
