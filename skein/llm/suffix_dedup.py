@@ -371,12 +371,12 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), keep: tu
     found = bare.mapInArrow(tidy(anchored), "key long, place int, gram long")
     # written, so that the join meets two plain exchanges and a hot gram can be split
     often = written(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "repeated-grams")
-    again = written(found.join(often, "gram").select("key", "place", "gram").distinct().groupBy("key").agg(F.collect_list(F.struct("place", "gram")).alias("wanted")), "repeated-anchors")
+    again = written(found.join(often, "gram").groupBy("key").agg(F.collect_list(F.struct("place", "gram")).alias("wanted")), "repeated-anchors")
     n = again.agg(F.sum(F.size("wanted"))).first()[0] or 0
     asked = bare.join(again.hint("shuffle_hash"), "key").select("key", "__text", "wanted")
     runs = runs_of(asked, rules, 1 + n // rules.partition_entries)
     spans = repeats(runs.repartition("part").sortWithinPartitions("part", "run", "nth"), rules)
-    spans = spans.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     out = keyed.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", *(f"__keep_{c}" for c in keep), "__text", "spans")
     width = 1 + len(keep)
     last = "kept_sha256" if digests else "text"
