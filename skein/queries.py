@@ -249,6 +249,34 @@ PAIRS: dict[str, tuple[str, str]] = {
         "CALL db.json_path_value_nodes('Event', 'props', '$.k', 25) YIELD node_id, value MATCH (node_id) RETURN node_id.event_id AS id, value",
         "SELECT event_id AS id, json_extract_string(props, '$.k') AS value FROM events WHERE json_exists(props, '$.k') ORDER BY event_id LIMIT 25",
     ),
+    "json_contains_nodes": (
+        "CALL db.json_contains_nodes('Event', 'props', '{\"k\": 87}', 40) YIELD node_id MATCH (node_id) RETURN node_id.event_id AS id",
+        "SELECT event_id AS id FROM events WHERE json_extract_string(props, '$.k') = '87' ORDER BY event_id LIMIT 40",
+    ),
+    "json_path_exists_nodes": (
+        "CALL db.json_path_exists_nodes('Event', 'props', '$.k', 30) YIELD node_id MATCH (node_id) RETURN node_id.event_id AS id",
+        "SELECT event_id AS id FROM events WHERE json_exists(props, '$.k') ORDER BY event_id LIMIT 30",
+    ),
+    "scalar_trigonometry": (
+        "MATCH (p:Part) WHERE p.p_partkey < 300 RETURN p.p_partkey AS k, COS(p.p_size) AS c, TAN(p.p_size) AS t, COT(p.p_size) AS ct, SINH(p.p_size / 10) AS sh, COSH(p.p_size / 10) AS ch, TANH(p.p_size) AS th, ASIN(1.0 / (p.p_size + 1)) AS a, ACOS(1.0 / (p.p_size + 1)) AS ac, ATAN(p.p_size) AS at, DEGREES(p.p_size) AS d, RADIANS(p.p_size) AS r, LOG10(p.p_size + 1) AS l, EXP(p.p_size / 10) AS e",
+        "SELECT p_partkey AS k, round(cos(p_size), 4) AS c, round(tan(p_size), 4) AS t, round(cot(p_size), 4) AS ct, round(sinh(p_size // 10), 4) AS sh, round(cosh(p_size // 10), 4) AS ch, round(tanh(p_size), 4) AS th, round(asin(1.0 / (p_size + 1)), 4) AS a, round(acos(1.0 / (p_size + 1)), 4) AS ac, round(atan(p_size), 4) AS at, round(degrees(p_size), 4) AS d, round(radians(p_size), 4) AS r, round(log10(p_size + 1), 4) AS l, round(exp(p_size // 10), 4) AS e FROM part WHERE p_partkey < 300",
+    ),
+    "label_wildcard_and_negation": (
+        "MATCH (n:%&!Event&!Document&!Embedding&!User&!Part&!Order) RETURN COUNT(*) AS n",
+        "SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n",
+    ),
+    "multi_hop_to_parts": (
+        "MATCH (r:Region)<-[:IN_REGION]-(:Nation)<-[:IN_NATION]-(c:Customer)-[:PLACED]->(:Order)-[l:CONTAINS]->(p:Part) WHERE l.quantity > 45 RETURN r.r_name AS region, p.p_brand AS brand, COUNT(*) AS n, MAX(l.price) AS top",
+        "SELECT r_name AS region, p_brand AS brand, count(*) AS n, round(max(l_extendedprice), 4) AS top FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45 GROUP BY 1, 2",
+    ),
+    "repeated_match": (
+        "MATCH (c:Customer {c_custkey: 10})-[:PLACED]->(o:Order) MATCH (o)-[:CONTAINS]->(p:Part)<-[:SUPPLIED]-(s:Supplier) RETURN o.o_orderkey AS o, p.p_partkey AS p, s.s_suppkey AS s",
+        "SELECT o_orderkey AS o, l.l_partkey AS p, x.l_suppkey AS s FROM orders JOIN lineitem l ON l.l_orderkey = o_orderkey JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) x ON x.l_partkey = l.l_partkey WHERE o_custkey = 10",
+    ),
+    "parameters": (
+        "MATCH (n:Nation) WHERE n.n_nationkey IN $keys AND n.n_name STARTS WITH $prefix RETURN n.n_name AS name LIMIT $most",
+        "SELECT n_name AS name FROM nation WHERE n_nationkey IN (1, 3, 5) AND starts_with(n_name, 'N')",
+    ),
     "json_object_keys": ("MATCH (e:Event) WHERE e.event_id < 50 RETURN e.event_id AS id, json_object_keys(e.props) AS keys", "SELECT event_id AS id, json_keys(props) AS keys FROM events WHERE event_id < 50"),
     "reachable_nodes": (
         f"CALL db.reachable_nodes([{OFFSET['Event'] + 7}], 'NEXT', 1000, 3, 'both') YIELD node_id, depth MATCH (node_id) RETURN node_id.event_id AS id, depth",
@@ -393,7 +421,9 @@ SQL["pagerank"] = """
     for k in (1, 2, 3)
 ) + " SELECT r_name AS name, round(s, 4) AS score FROM p3 JOIN region ON id = 'r' || r_regionkey"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: text_query(t) for k, (t, _) in PAIRS.items()}
+PARAMETERS = {"parameters": {"keys": [1, 3, 5], "prefix": "N", "most": 10}}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: text_query(t, PARAMETERS.get(k)) for k, (t, _) in PAIRS.items()}
 QUERIES |= {k: text_query(t, {"q": VECTOR}) for k, (t, _) in VECTORS.items()}
 QUERIES |= {k: after_projection(p, t) for k, (p, t, _) in ALGORITHMS.items()}
 QUERIES |= {k: over_tables(f) for k, f in BUILT.items()}
