@@ -36,7 +36,8 @@ WINDOW = 4096
 END_ID = 2
 MOST_COLUMNS = 20_000
 SWEEPS = 25
-MOST_KNOWN = 300_000
+MOST_KNOWN = 250_000
+ROWS = 512
 
 class PieceIds:
     """Ids of texts, piece by piece.
@@ -52,7 +53,9 @@ class PieceIds:
     def __init__(self, path: str):
         self.tokenizer = library_tokenizer(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        #: Pieces in use, and those in use before: what overflows is forgotten unless it comes again.
         self.known: dict[bytes, bytes | None] = {}
+        self.old: dict[bytes, bytes | None] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -87,14 +90,16 @@ class PieceIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > MOST_KNOWN:
-            self.known.clear()
+            self.known, self.old = {}, self.known
         normal = [self.normal(t) for t in texts]
         odd = {i for i, t in enumerate(normal) if t is None}
         normal = [t or "" for t in normal]
         data = np.frombuffer("".join(normal).encode("utf-8"), dtype=np.uint8)
         starts, ends, first = word_pieces("".join(normal), data, np.cumsum([0, *map(len, normal)]))
         code, distinct = numbered(data, starts, ends)
-        self.learn([p for p in distinct if p not in self.known])
+        missing = [p for p in distinct if p not in self.known]
+        self.known.update((p, self.old[p]) for p in missing if p in self.old)
+        self.learn([p for p in missing if p not in self.old])
         values = [self.known[p] for p in distinct]
         joined, off = repeated([v or b"" for v in values], code)
         cut = off[first].tolist()
@@ -153,8 +158,8 @@ def cut_documents(docs: DataFrame, window: int, vocabulary: str, folder: str | N
         part, seen = TaskContext.get().partitionId(), Counter()
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth", *["ids"] * with_ids]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, ROWS):
+                some = batch.slice(lo, ROWS)
                 row, cols = [], {n: [] for n in names}
                 for i, ids in enumerate(_ENCODERS[path].encode([t or "" for t in some.column(1).to_pylist()])):
                     ids += END_ID.to_bytes(4, "little")
@@ -277,7 +282,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, vocabulary: str = "wor
     table = docs.sparkSession.sparkContext.broadcast(slots(plan(counts, window)))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_task.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("part", "nth", "base")
+    ranked = pieces.join(bases.hint("shuffle_hash"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("part", "nth", "base")
     kept = [c for c in ranked.columns if c not in ("rank", "ids")]
     kept = ["doc_id", *[c for c in ("start", "length", "ids_crc32", "doc_tokens") if c in kept]]
 

@@ -127,8 +127,9 @@ def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     if not len(starts):
         return np.empty(0, np.int64), []
     code, values = _dictionary(data, starts, ends)
-    used, code = np.unique(code, return_inverse=True)
-    return code, values.take(pa.array(used)).to_pylist()
+    used = np.zeros(len(values), dtype=bool)  # some values are gaps alone
+    used[code] = True
+    return (np.cumsum(used) - 1)[code], values.filter(pa.array(used)).to_pylist()
 
 
 _B = 0x9E3779B97F4A7C15 | 1
