@@ -423,7 +423,23 @@ SQL["pagerank"] = """
 
 PARAMETERS = {"parameters": {"keys": [1, 3, 5], "prefix": "N", "most": 10}}
 
+#: name: what narrows the query and its SQL; name_whole is the same over all rows, its SQL likewise.
+NARROWED = {
+    "value_subquery": (" WHERE c.c_custkey <= 200", " WHERE c_custkey <= 200"),
+    "call_subquery": (" WHERE c.c_custkey <= 100", " AND c_custkey <= 100"),
+    "optional_call": (" WHERE c.c_custkey <= 60", " WHERE c_custkey <= 60"),
+    "path_walk_1_3": (" WHERE a.event_id < 100", " WHERE src < 100"),
+    "all_shortest": (" WHERE b.s_suppkey < 5", " AND y.l_suppkey < 5"),
+    "questioned_edge": (" WHERE c.c_custkey <= 50", " WHERE c_custkey <= 50"),
+    "json_get": (" WHERE e.event_id < 200", " WHERE event_id < 200"),
+    "scalar_trigonometry": (" WHERE p.p_partkey < 300", " WHERE p_partkey < 300"),
+    "json_object_keys": (" WHERE e.event_id < 50", " WHERE event_id < 50"),
+}
+WHOLE = {f"{k}_whole": tuple(x.replace(y, "") for x, y in zip(PAIRS[k], narrow, strict=True)) for k, narrow in NARROWED.items()}
+SQL |= {k: v for k, (_, v) in WHOLE.items()}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: text_query(t, PARAMETERS.get(k)) for k, (t, _) in PAIRS.items()}
+QUERIES |= {k: text_query(t) for k, (t, _) in WHOLE.items()}
 QUERIES |= {k: text_query(t, {"q": VECTOR}) for k, (t, _) in VECTORS.items()}
 QUERIES |= {k: after_projection(p, t) for k, (p, t, _) in ALGORITHMS.items()}
 QUERIES |= {k: over_tables(f) for k, f in BUILT.items()}

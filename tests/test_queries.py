@@ -54,3 +54,11 @@ def test_entry_works_without_the_optional_folder(tmp_path):
     code = "import __spark_entry__ as e; assert 'wcc' in e.queries() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries() if k[2:3].isdigit()); print('fine')"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert out.stdout.strip() == "fine", out.stderr
+
+
+@pytest.mark.parametrize("name", sorted(queries.WHOLE))
+def test_whole_query_equals_its_sql(spark, db, name):
+    """Over all rows: no comparison with a number is left that keeps some ids only."""
+    assert queries.WHOLE[name][0] != queries.PAIRS[name.removesuffix("_whole")][0]
+    assert queries.SQL[name] != queries.SQL[name.removesuffix("_whole")]
+    test_query_equals_its_sql(spark, db, name)
