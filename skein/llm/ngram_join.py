@@ -8,7 +8,7 @@
    connected components of these links are the groups to verify.
 3. Groups are verified on full n-gram sets. A large group is split into blocks
    and every pair of blocks meets in one task of bounded size, where a matrix
-   product counts common n-grams. All pairs that share a band are compared; a
+   product counts common n-grams. Every pair of a group counts, whether it shares a band or not; a
    task returns, for each member, the number of its links and one edge of a
    spanning forest, so rows do not grow with the pairs.
 4. Components of the verified links are the classes that are returned.
@@ -125,7 +125,7 @@ def signed(picked: DataFrame, spec: JaccardJoin) -> DataFrame:
 
 
 def gram_sets(rows: DataFrame, spec: JaccardJoin) -> DataFrame:
-    """(root, size, node, copies, set, bands) from (root, size, node, copies, __text); texts that are not the node's own are left out."""
+    """(root, size, node, copies, set) from (root, size, node, copies, __text); texts that are not the node's own are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches, "__text"):
@@ -133,15 +133,12 @@ def gram_sets(rows: DataFrame, spec: JaccardJoin) -> DataFrame:
             own = np.flatnonzero(node.view(np.int64) == s.rows.column(2).to_numpy(zero_copy_only=False))
             if not len(own):
                 continue
-            bands = signatures(grams, np.append(first[:-1][np.diff(first) > 0], first[-1]), spec)
-            at = np.cumsum(np.diff(first) > 0) - 1
             sets = [np.unique(grams[first[i] : first[i + 1]]) for i in own]
             rest = s.rows.take(pa.array(own))
             off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-            width = bands.shape[1]
-            yield pa.RecordBatch.from_arrays([*(rest.column(i) for i in range(4)), lists(np.concatenate(sets), off), lists(bands[at[own]].ravel(), np.arange(len(own) + 1) * width)], names=["root", "size", "node", "copies", "set", "bands"])
+            yield pa.RecordBatch.from_arrays([*(rest.column(i) for i in range(4)), lists(np.concatenate(sets), off)], names=["root", "size", "node", "copies", "set"])
 
-    return rows.mapInArrow(tidy(run), "root long, size long, node long, copies long, set array<long>, bands array<long>")
+    return rows.mapInArrow(tidy(run), "root long, size long, node long, copies long, set array<long>")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -165,7 +162,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verify(node: np.ndarray, copies: np.ndarray, side: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def verify(node: np.ndarray, copies: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """For each member of a group: links, counted with copies, to members of the other side (of any side if there is one); and a spanning forest's root."""
     size = np.array([len(x) for x in sets], dtype=np.float64)
     common = common_counts(sets)
@@ -174,9 +171,6 @@ def verify(node: np.ndarray, copies: np.ndarray, side: np.ndarray, sets: list[np
     if side.any():
         linked &= side[:, None] != side[None, :]
     np.fill_diagonal(linked, False)
-    a, b = np.nonzero(np.triu(linked))
-    ok = (bands[a] == bands[b]).any(axis=1)
-    linked[a[~ok], b[~ok]] = linked[b[~ok], a[~ok]] = False
     root = np.arange(len(node))
     for i in np.argsort(node, kind="stable"):
         if root[i] != i:
@@ -217,11 +211,10 @@ def verified(rows: DataFrame, spec: JaccardJoin) -> DataFrame:
             values = get("set")
             off, flat = values.offsets.to_numpy(), values.values.to_numpy()
             sets = [flat[off[k] : off[k + 1]] for k in first]
-            bands = get("bands").flatten().to_numpy().reshape(len(values), -1)[first]
             if len(node) < 2:
                 continue
             side = (own == j) & (i != j)
-            links, other = verify(node, copies, side, sets, bands, spec.similarity)
+            links, other = verify(node, copies, side, sets, spec.similarity)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links.astype(np.int64)), pa.array(other)], names=["node", "links", "other"])
 
     return rows.mapInArrow(tidy(run), "node long, links long, other long")
@@ -261,7 +254,7 @@ def near_duplicates(docs: DataFrame, spec: JaccardJoin = JaccardJoin(), doc_id:
     blocks = F.ceil(F.col("size") / spec.block)
     own = F.pmod(F.xxhash64("node"), blocks)
     spread = sets.withColumn("own", own).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    spread = spread.select("root", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "node", "copies", "set", "bands")
+    spread = spread.select("root", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "node", "copies", "set")
     found = written(verified(spread.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"), spec), "links")
     joined = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")), "linked")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -133,6 +133,23 @@ def test_jaccard_join_edge_cases(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_verified_links_count_without_a_common_band(spark):
+    """Two texts at 0.8 or more without a common band, held together by a third, are linked all the same."""
+    spec = dataclasses.replace(JaccardJoin(), recall=0.8)  # fewer bands, so that more pairs share none
+    random.seed(9)
+    words = [f"w{i}" for i in range(300)]
+    base = random.choices(words, k=120)
+    texts = [" ".join(base)]
+    for _ in range(40):
+        x = list(base)
+        for _ in range(2):
+            x[random.randrange(len(x))] = random.choice(words)
+        texts.append(" ".join(x))
+    rows = list(enumerate(texts))
+    got = near_duplicates(spark.createDataFrame(rows, KIND), spec)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == jaccard_by_hand(rows)
+
+
 def test_bands_reach_their_recall():
     for similarity in (0.5, 0.8, 0.9):
         bands, rows = bands_and_rows(similarity, 0.999, 256)
