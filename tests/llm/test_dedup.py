@@ -84,6 +84,13 @@ def test_line_dedup_edge_cases(spark):
     assert dedup_lines(df.limit(0)).count() == 0
 
 
+def test_short_lines_go_when_repeated(spark):
+    rows = [(1, "Les.\nAll rights reserved.\n\n \nLes."), (2, "All rights reserved!\n\n \nLes.\nx\n\t"), (3, "x\nAll rights reserved.\n\t")]
+    got = dedup_lines(spark.createDataFrame(rows, KIND)).select("doc_id", "text", "n_lines", "n_dropped").collect()
+    # a near one of under 24 characters stays, as do blank lines
+    assert sorted(map(tuple, got)) == [(1, "Les.\nAll rights reserved.\n\n ", 5, 1), (2, "All rights reserved!\n\n \nx\n\t", 6, 1), (3, "\t", 3, 2)]
+
+
 def jaccard_by_hand(rows: list) -> list:
     sets = []
     for _, t in rows:
