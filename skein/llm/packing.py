@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .byte_bpe import repeated
 from .durable import written
@@ -36,8 +37,9 @@ WINDOW = 4096
 END_ID = 2
 MOST_COLUMNS = 20_000
 SWEEPS = 25
-MOST_KNOWN = 250_000
-ROWS = 512
+MOST_KNOWN = 400_000
+ROWS = 1024
+
 
 class PieceIds:
     """Ids of texts, piece by piece.
@@ -45,17 +47,22 @@ class PieceIds:
     After normalization the tokenizer splits a text into runs of letters,
     single digits, runs of other signs and English contractions, and encodes
     each alone. So a slice is split at once in NumPy, its distinct pieces are
-    found by exact comparison, and the library encodes those not met before.
-    Texts that hold a special string, or a piece that normalization would
-    change again, go to the library whole.
+    found by exact comparison, and the library's model encodes those not met
+    before, many in one call: its last token of each piece is marked as such.
+    Texts that hold a special string go to the library whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = library_tokenizer(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.model.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for word, i in vocabulary.items() if word.endswith(self.model.model.end_of_word_suffix)]] = True
         #: Pieces in use, and those in use before: what overflows is forgotten unless it comes again.
-        self.known: dict[bytes, bytes | None] = {}
-        self.old: dict[bytes, bytes | None] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -73,19 +80,14 @@ class PieceIds:
             return None if unassigned()[np.frombuffer(out.encode("utf-32-le"), dtype=np.uint32)].any() else out
 
     def learn(self, pieces: list[bytes]) -> None:
-        words = [p.decode("utf-8") for p in pieces]
-        for lo in range(0, len(words), 2000):
-            some = words[lo : lo + 2000]
-            joined = " ".join(some)
-            if self.tokenizer.normalizer.normalize_str(joined) != joined:
-                stable = [self.tokenizer.normalizer.normalize_str(w) == w for w in some]
-                self.known.update((w.encode(), self.whole(w) if ok else None) for w, ok in zip(some, stable, strict=True))
-                continue
-            found = self.tokenizer.encode(joined, add_special_tokens=False)
-            raw = np.array(found.ids, dtype="<u4").tobytes()
-            begins = np.cumsum([0, *(len(w) + 1 for w in some)])
-            cut = (4 * np.searchsorted(np.array(found.offsets).reshape(-1, 2)[:, 0], begins)).tolist()
-            self.known.update((w.encode(), raw[x:y]) for w, x, y in zip(some, cut, cut[1:], strict=False))
+        for lo in range(0, len(pieces), 2000):
+            some = pieces[lo : lo + 2000]
+            ids = np.array(self.model.encode_batch_fast([b" ".join(some).decode("utf-8")], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary does not mark the last token of each piece")
+            raw, cut = ids.tobytes(), (4 * ends).tolist()
+            self.known.update(zip(some, [raw[x:y] for x, y in zip([0, *cut], cut, strict=False)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -97,16 +99,18 @@ class PieceIds:
         data = np.frombuffer("".join(normal).encode("utf-8"), dtype=np.uint8)
         starts, ends, first = word_pieces("".join(normal), data, np.cumsum([0, *map(len, normal)]))
         code, distinct = numbered(data, starts, ends)
-        missing = [p for p in distinct if p not in self.known]
-        self.known.update((p, self.old[p]) for p in missing if p in self.old)
-        self.learn([p for p in missing if p not in self.old])
-        values = [self.known[p] for p in distinct]
-        joined, off = repeated([v or b"" for v in values], code)
+        values = list(map(self.known.get, distinct))
+        missing = [i for i, v in enumerate(values) if v is None]
+        if missing:
+            asked = [distinct[i] for i in missing]
+            before = list(map(self.old.get, asked))
+            self.known.update((p, v) for p, v in zip(asked, before, strict=True) if v is not None)
+            self.learn([p for p, v in zip(asked, before, strict=True) if v is None])
+            for i, p in zip(missing, asked, strict=True):
+                values[i] = self.known[p]
+        joined, off = repeated(values, code)
         cut = off[first].tolist()
         out = [joined[x:y] for x, y in zip(cut, cut[1:], strict=False)]
-        if None in values:
-            bad = np.array([v is None for v in values])[code]
-            odd |= {i for i in range(len(texts)) if bad[first[i] : first[i + 1]].any()}
         for i in odd:
             out[i] = self.whole(texts[i])
         return out
