@@ -4,7 +4,9 @@ A suffix array over the words of each text, with the longest common prefix
 (LCP) of neighbours, gives every maximal repeated substring as an LCP
 interval. A suffix's deepest interval is the larger LCP with its two
 neighbours; the union of these spans is what repeats. Two limits follow: the
-fraction of the text's characters that repeats cover, and the longest repeat.
+fraction of the text's characters that repeats of a few words or more cover,
+and the longest repeat. The base rule looks at repeats of eight words alone;
+the limit on coverage also sees texts that turn round shorter phrases.
 
 Arrays of many texts are built at once by prefix doubling in NumPy; groups
 never cross texts, and suffixes that are unique already take no further part.
@@ -25,9 +27,10 @@ from .text import Slice, codes, line_bounds, slices, sums, tidy, word_bounds
 
 @dataclass(frozen=True)
 class RepetitionRules:
-    """Limits. ``window``: the shortest repeat, in words, that counts."""
+    """Limits. ``window``: words of a repeat that counts for the base rule and as the longest; ``phrase``: words of the shortest repeat whose span counts as covered."""
 
     window: int = 8
+    phrase: int = 4
     least_words: int = 20
     most_repeat_percent: int = 30
     most_covered_fraction: float = 0.30
@@ -67,7 +70,7 @@ def longest_repeats(word: np.ndarray, first: np.ndarray, least: int) -> np.ndarr
     active, slot = order[again], place[again]
     deep: np.ndarray | None = None
     while len(active):
-        if k >= least and deep is None:
+        if 2 * k > least and deep is None:
             deep = slot
         ahead = active + k
         inside = ahead < end[active]
@@ -86,8 +89,8 @@ def longest_repeats(word: np.ndarray, first: np.ndarray, least: int) -> np.ndarr
         active, slot = active[again], slot[again]
     if deep is None or len(deep) < 2:
         return out
-    # neighbours in the array whose first `k >= least` words agreed at some level
-    k, rank = next((k, r) for k, r in levels if k >= least)
+    # neighbours in the array that agree in their first k words, the most of a level within ``least``
+    k, rank = next((k, r) for k, r in levels if 2 * k > least)
     near = deep[:-1][deep[1:] == deep[:-1] + 1]
     a, b = suffix[near], suffix[near + 1]
     same = rank[a] == rank[b]
@@ -100,7 +103,14 @@ def longest_repeats(word: np.ndarray, first: np.ndarray, least: int) -> np.ndarr
         common += np.where(ok, k, 0)
     np.maximum.at(out, a, common)
     np.maximum.at(out, b, common)
-    return out
+    return np.where(out >= least, out, 0)
+
+
+def spanned(repeat: np.ndarray) -> np.ndarray:
+    """The union of the spans: whether a repeat that begins at or before a word reaches over it."""
+    at = np.flatnonzero(repeat)
+    turn = np.bincount(at, minlength=len(repeat) + 1) - np.bincount(at + repeat[at], minlength=len(repeat) + 1)
+    return np.cumsum(turn[:-1]) > 0
 
 
 def measures(s: Slice, rules: RepetitionRules) -> dict[str, np.ndarray]:
@@ -123,13 +133,12 @@ def measures(s: Slice, rules: RepetitionRules) -> dict[str, np.ndarray]:
     n_dup_lines = sums(worded, line_first) - np.bincount(distinct, minlength=len(s))
 
     word, _ = codes(data, starts, ends)
-    repeat = longest_repeats(word, first, rules.window)
-    at = np.flatnonzero(repeat)
-    turn = np.bincount(at, minlength=len(word) + 1) - np.bincount(at + repeat[at], minlength=len(word) + 1)
-    covered = np.cumsum(turn[:-1]) > 0
-    n_repeat = sums(covered, first)
+    repeat = longest_repeats(word, first, min(rules.phrase, rules.window))
+    large = np.where(repeat >= rules.window, repeat, 0)
+    n_repeat = sums(spanned(large), first)
     longest = np.zeros(len(s), dtype=np.int64)
-    np.maximum.at(longest, np.repeat(np.arange(len(s)), n_words), repeat)
+    np.maximum.at(longest, np.repeat(np.arange(len(s)), n_words), large)
+    covered = spanned(np.where(repeat >= rules.phrase, repeat, 0))
     fraction = sums(np.where(covered, width, 0), first) / np.maximum(word_chars, 1)
 
     failed = (n_words < rules.least_words) | (100 * n_repeat > rules.most_repeat_percent * n_words)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import dataclasses
 import hashlib
 import random
 import re
@@ -66,6 +67,55 @@ def test_repetition_against_plain_counts(limit):
             assert g[5] == want[5]
 
 
+@pytest.mark.parametrize("phrase", [1, 2, 3, 4, 5, 7, 8])
+def test_covered_fraction_and_longest_repeat(phrase):
+    """Against all pairs of places, for texts of any length and phrases of any number of words."""
+    random.seed(8)
+    base = [" ".join(random.choices([f"w{i}" for i in range(400)], k=90)) for _ in range(6)]
+    values = [None, "", "a"] + [" ".join(random.choices("abc", k=random.randint(0, 40))) for _ in range(60)]
+    values += [f"{x} {x[: random.randint(0, 500)]} {y[:200]} {x[-300:]}" for x in base for y in base]
+    rules = dataclasses.replace(RULES, phrase=phrase)
+    fraction, longest = [], []
+    for s in cut(values, 4000):
+        m = measures(s, rules)
+        fraction += m["covered_fraction"].tolist()
+        longest += m["longest_repeat_words"].tolist()
+    for t, f, n in zip(values, fraction, longest, strict=True):
+        w = (t or "").split()
+        common = [[0] * (len(w) + 1) for _ in range(len(w) + 1)]
+        best = [0] * len(w)
+        for x in range(len(w) - 1, -1, -1):
+            for y in range(len(w) - 1, -1, -1):
+                if x != y and w[x] == w[y]:
+                    common[x][y] = common[x + 1][y + 1] + 1
+                    best[x] = max(best[x], common[x][y])
+        inside = {j for x, k in enumerate(best) if k >= phrase for j in range(x, x + k)}
+        assert f == sum(len(w[j]) for j in inside) / max(1, sum(map(len, w)))
+        assert n == max([k for k in best if k >= 8], default=0)
+
+
+def test_short_phrases_decide(spark):
+    """A text that turns round a phrase of five words passes the base rule and not the method's."""
+    random.seed(3)
+    fresh = iter(f"w{i}" for i in range(10_000))
+    loop = " ".join(f"over and over it goes {next(fresh)} {next(fresh)}" for _ in range(40))
+    rows = {r.doc_id: (r.base_failed, r.kept) for r in judge_repetition(spark.createDataFrame([(1, loop), (2, " ".join(next(fresh) for _ in range(300)))], "doc_id long, text string")).collect()}
+    assert rows == {1: (False, False), 2: (False, True)}
+
+
+def test_row_operators_on_very_long_texts(spark):
+    """Texts of megabytes among nulls and empty ones, through Spark."""
+    random.seed(6)
+    long = " ".join(random.choices([f"word{i}" for i in range(5000)], k=300_000))
+    df = spark.createDataFrame([(None, None), (1, ""), (2, long), (3, None), (4, "a b c")], "doc_id long, text string").coalesce(1)
+    judged = {r.doc_id: (r.n_words, r.kept) for r in judge_repetition(df).filter("doc_id is not null").collect()}
+    assert judged == {1: (0, False), 2: (300_000, True), 3: (0, False), 4: (3, False)}
+    library = library_tokenizer(vocabulary_path("byte_bpe_50k.json"))
+    counted = {r.doc_id: (r.n_bytes, r.n_tokens) for r in count_tokens(df).filter("doc_id is not null").collect()}
+    assert counted == {1: (0, 0), 2: (len(long), len(library.encode(long, add_special_tokens=False).ids)), 3: (0, 0), 4: (5, 3)}
+    assert {r.doc_id: r.decoded for r in encode_and_decode(df).filter("doc_id is not null").collect()} == {1: "", 2: long, 3: "", 4: "a b c"}
+
+
 def test_repetition_keeps_clean_and_drops_loops(spark):
     clean = " ".join(f"w{i}" for i in range(300))
     loop = "the same eight words come here again now " * 20
