@@ -13,12 +13,13 @@ from skein.plans.parser import GqlError
 def percentile_disc(x: Column, p: Column) -> Column:
     """The member at place 1 + p(n - 1), rounded half to even."""
     ordered = F.array_sort(F.collect_list(x))
-    place = F.bround(1 + p.cast("double") * (F.count(x) - 1), 0).cast("int")
+    place = F.bround(1 + checked(p) * (F.count(x) - 1), 0).cast("int")
     return F.when(F.count(x) > 0, F.try_element_at(ordered, place))
 
 
 def checked(p: Column) -> Column:
-    return F.when((p < 0) | (p > 1), F.raise_error(F.lit("22003: a percentile lies between 0 and 1")).cast("double")).otherwise(p.cast("double"))
+    p = p.cast("double")
+    return F.when(F.isnan(p) | (p < 0) | (p > 1), F.raise_error(F.lit("22003: a percentile lies between 0 and 1")).cast("double")).otherwise(p)
 
 
 def aggregate(name: str, distinct: bool, args: list[Column]) -> Column:

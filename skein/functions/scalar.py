@@ -6,8 +6,10 @@ functions that compare documents, which are pandas UDFs.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -90,23 +92,88 @@ def uuid_v7() -> Column:
     return F.concat(F.substring(now, 1, 8), F.lit("-"), F.substring(now, 9, 4), F.lit("-7"), F.substring(rest, 14, 3), F.lit("-"), F.substring(rest, 17, 4), F.lit("-"), F.substring(rest, 21, 12))
 
 
-def duration(text: Column) -> Column:
-    """A DAY TO SECOND duration from ISO text: PnDTnHnMn.nS."""
-    part = lambda p: F.coalesce(F.nullif(F.regexp_extract(text, p, 1), F.lit("")).cast("double"), F.lit(0.0))
+ISO_DURATION = re.compile(r"([+-]?)P(?=.)(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)W)?(?:(\d+)D)?(?:T(?=.)(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?", re.IGNORECASE)
+MONTHS_IN, SECONDS_IN = {"years": 12, "months": 1}, {"days": 86400, "hours": 3600, "minutes": 60, "seconds": 1, "milliseconds": 1e-3, "microseconds": 1e-6, "nanoseconds": 1e-9}
+
+
+def literal_duration(text: str) -> Column:
+    """A duration that is known when the query is compiled: of months, of days to seconds, or of both."""
+    m = ISO_DURATION.fullmatch(text.strip())
+    if m is None:
+        raise GqlError("not a duration", "22G03")
+    sign = -1 if m[1] == "-" else 1
+    years, months, weeks, days, hours, minutes = (sign * int(x or 0) for x in m.groups()[1:7])
+    seconds = F.lit(("-" if sign < 0 else "") + (m[8] or "0")).cast("decimal(18,6)")
+    if m[2] is None and m[3] is None:
+        return F.make_dt_interval(F.lit(7 * weeks + days), F.lit(hours), F.lit(minutes), seconds)
+    if all(x is None for x in m.groups()[3:]):
+        return F.make_ym_interval(F.lit(years), F.lit(months))
+    return F.make_interval(F.lit(years), F.lit(months), F.lit(weeks), F.lit(days), F.lit(hours), F.lit(minutes), seconds)
+
+
+def duration(x: Column, dtype: T.DataType) -> Column:
+    """A DAY TO SECOND duration from ISO text, PnWnDTnHnMn.nS; or one of the fields of a record, which are of one group."""
+    if isinstance(dtype, T.StructType):
+        names = {n.lower(): n for n in dtype.names}
+        for known, made in ((MONTHS_IN, lambda v: F.make_ym_interval(F.lit(0), v.cast("int"))), (SECONDS_IN, lambda v: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), v.cast("decimal(18,6)")))):
+            if names and set(names) <= set(known):
+                parts = [x.getField(n).cast("decimal(28,9)") * F.lit(known[k]).cast("decimal(18,9)") for k, n in names.items()]
+                return made(reduce(lambda a, b: a + b, parts))
+        raise GqlError("a duration's fields are years and months, or days to nanoseconds", "22G03")
+    part = lambda p: F.coalesce(F.nullif(F.regexp_extract(x, p, 1), F.lit("")).cast("double"), F.lit(0.0))
     seconds = part(r"^-?P.*?(\d+)W") * 604800 + part(r"^-?P.*?(\d+)D") * 86400 + part(r"T.*?(\d+)H") * 3600 + part(r"T(?:.*?\D)?(\d+)M") * 60 + part(r"T(?:.*?[A-Z])?([\d.]+)S")
-    ok = text.rlike(r"^-?P(?=.)(\d+W)?(\d+D)?(T(?=.)(\d+H)?(\d+M)?([\d.]+S)?)?$")
-    made = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.when(text.startswith("-"), -seconds).otherwise(seconds)).cast("decimal(18,6)"))
-    return F.when(text.isNotNull() & ~ok, F.raise_error(F.lit("22G03: not a duration")).cast("interval day to second")).otherwise(made)
+    ok = x.rlike(r"^-?P(?=.)(\d+W)?(\d+D)?(T(?=.)(\d+H)?(\d+M)?([\d.]+S)?)?$")
+    made = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.when(x.startswith("-"), -seconds).otherwise(seconds)).cast("decimal(18,6)"))
+    return F.when(x.isNotNull() & ~ok, F.raise_error(F.lit("22G03: not a duration of days to seconds")).cast("interval day to second")).otherwise(made)
+
+
+def iso_duration(x: Column, dtype: T.DataType) -> Column:
+    """ISO text of a duration; PT0S and P0M are the empty ones."""
+    some = lambda n, unit: F.when(n != 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
+    if isinstance(dtype, T.YearMonthIntervalType):
+        months = F.call_function("extract", F.lit("YEAR"), x) * 12 + F.call_function("extract", F.lit("MONTH"), x)
+        size = F.abs(months)
+        body = F.concat(some(F.floor(size / 12), "Y"), some(size % 12, "M"))
+        return F.when(months == 0, "P0M").otherwise(F.concat(F.when(months < 0, "-P").otherwise("P"), body))
+    field = lambda unit: F.call_function("extract", F.lit(unit), x)
+    days, hours, minutes, seconds = (F.abs(field(u)) for u in ("DAY", "HOUR", "MINUTE", "SECOND"))
+    clock = F.concat(some(hours, "H"), some(minutes, "M"), F.when(seconds != 0, F.concat(F.regexp_replace(F.regexp_replace(seconds.cast("string"), r"0+$", ""), r"\.$", ""), F.lit("S"))).otherwise(""))
+    body = F.concat(some(days, "D"), F.when(clock != "", F.concat(F.lit("T"), clock)).otherwise(""))
+    below = (field("DAY") < 0) | (field("HOUR") < 0) | (field("MINUTE") < 0) | (field("SECOND") < 0)
+    return F.when(x.isNull(), F.lit(None)).when(body == "", "PT0S").otherwise(F.concat(F.when(below, "-P").otherwise("P"), body))
+
+
+INTERVALS = (T.YearMonthIntervalType, T.DayTimeIntervalType)
+
+
+def date_moved(day: Column, by: Column, dtype: T.DataType, sign: int) -> Column:
+    """A date stays one: of hours and seconds, whole days count."""
+    if isinstance(dtype, T.YearMonthIntervalType):
+        return (day + by) if sign > 0 else (day - by)
+    days = F.call_function("extract", F.lit("DAY"), by.cast("interval day to second")).cast("int")
+    return F.date_add(day, days * sign)
 
 
 def duration_between(a: Column, b: Column, unit: str) -> Column:
     """From a to b; in whole months, or in days to seconds."""
     if unit == "months":
-        months = F.call_function("months_between", b, a)
-        return F.make_ym_interval(F.lit(0), F.when(months < 0, F.ceil(months)).otherwise(F.floor(months)).cast("int"))
+        # the most whole months from a that do not pass b, as the last day of a month is reached from later ones too
+        near = F.call_function("months_between", b, a)
+        near = F.when(near < 0, F.floor(near)).otherwise(F.ceil(near)).cast("int")
+        reached = a + F.make_ym_interval(F.lit(0), near)
+        months = F.when((near > 0) & (reached > b), near - 1).when((near < 0) & (reached < b), near + 1).otherwise(near)
+        return F.make_ym_interval(F.lit(0), months)
     return (b.cast("timestamp") - a.cast("timestamp")).cast("interval day to second")
 
 
+def time_of_day(x: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.StringType):
+        return F.call_function("to_time", x)
+    if isinstance(dtype, T.TimestampType | T.TimestampNTZType):
+        return F.call_function("make_time", F.hour(x), F.minute(x), F.call_function("extract", F.lit("SECOND"), x))
+    return x.cast("time")
+
+
 def temporal(kind: str, args: list[Column], dtype: T.DataType) -> Column:
     """Temporal values from text, or from a record of fields."""
     x = args[0]
@@ -123,7 +190,7 @@ def temporal(kind: str, args: list[Column], dtype: T.DataType) -> Column:
     if kind == "DATE":
         return x.cast("date")
     if kind in ("TIME", "LOCAL_TIME"):
-        return F.call_function("to_time", x) if isinstance(dtype, T.StringType) else x.cast("time")
+        return time_of_day(x, dtype)
     if kind == "ZONED_TIME":
         return F.struct(F.call_function("to_time", F.regexp_replace(x, r"(Z|[+-]\d\d:?\d\d)$", "")).alias("time"), F.regexp_extract(x, r"(Z|[+-]\d\d:?\d\d)$", 1).alias("offset"))
     if kind in ("ZONED_DATETIME", "TIMESTAMP"):
@@ -228,7 +295,7 @@ def call(name: str, args: list[Column], types: list[T.DataType], paths: list[boo
         return F.concat(F.slice(nodes, 1, 1), pairs)
     if name == "DURATION":
         need(1)
-        return duration(args[0])
+        return duration(args[0], types[0])
     if name == "UUID_V4":
         need(0)
         return F.uuid()
@@ -273,6 +340,8 @@ UNSIGNED = {"UINT8": (1 << 8) - 1, "UINT16": (1 << 16) - 1, "UINT32": (1 << 32)
 
 def spark_type(kind: tuple) -> str:
     name, args = kind
+    if name == "DURATION" and "months" in args:
+        return "interval year to month"
     if name in ("DECIMAL", "NUMERIC", "DEC"):
         return f"decimal({args[0] if args else 38},{args[1] if len(args) > 1 else 10 if not args else 0})"
     if name == "RECORD":
@@ -289,6 +358,14 @@ def cast(x: Column, kind: tuple, dtype: T.DataType) -> Column:
     to = spark_type(kind)
     if name == "JSON":
         return json_docs.parsed(x) if isinstance(dtype, T.StringType) else F.to_json(x)
+    if isinstance(dtype, INTERVALS) and to == "string":
+        return iso_duration(x, dtype)
+    if to == "time":
+        return time_of_day(x, dtype)
+    if name == "DURATION":
+        if isinstance(dtype, INTERVALS):
+            return x.cast(to)
+        return duration(x, dtype)
     if isinstance(dtype, T.StringType) and name in TYPES and name.startswith(("INT", "UINT", "BIGINT", "SMALLINT")):
         text = F.translate(F.btrim(x), "_", "")
         body = F.regexp_replace(text, r"^([+-]?)0[xXoObB]", "$1")

@@ -53,6 +53,9 @@ class Registry:
         space, _, rest = name.rpartition(".")
         return name if space == "algo" else rest
 
+    def columns(self, name: str) -> list[str]:
+        return [c for c in ALL[self.key(name)].yields.split(", ") if c]
+
     def __getitem__(self, name: str) -> Callable[..., DataFrame]:
         p = ALL[self.key(name)]
 

@@ -157,8 +157,12 @@ def bm25(graph: PropertyGraph, label: str, prop: str, queries: list[str]) -> Dat
     terms = asked.select("term").distinct()
     size = corpus.select("id", F.size("words").alias("dl"), "words")
     total = size.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    # a node sends out the terms asked for alone: they are few, and counted before the shuffle
-    postings = size.select("id", "dl", F.explode("words").alias("term")).join(F.broadcast(terms), "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    # a node sends out the terms asked for alone, each once with its count; they are few, as queries are
+    wanted = [r["term"] for r in terms.collect()]
+    held = F.filter("words", lambda w: w.isin(wanted))
+    postings = size.select("id", "dl", held.alias("held")).filter(F.size("held") > 0)
+    postings = postings.select("id", "dl", "held", F.explode(F.array_distinct("held")).alias("term"))
+    postings = postings.select("term", "id", "dl", F.size(F.filter("held", lambda w: w == F.col("term"))).cast("long").alias("tf")).join(F.broadcast(terms), "term", "left_semi")
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -26,6 +26,10 @@ from .parser import GqlError
 from .syntax import Clause, Compose, EdgePattern, Ex, Explain, Match, Next, NodePattern, Project, Query
 
 
+#: Most different arguments that a procedure is called with for the rows before it.
+MOST_CALLS = 1000
+
+
 def trees(x: Any) -> Iterator[Any]:
     """Every syntax node below, itself included."""
     if is_dataclass(x):
@@ -248,13 +252,15 @@ class Compiler:
             df = df.withColumn(name, F.coalesce(col(name), F.lit(False)))
             return replace(t, df=df), Ex("column", data=name)
         if e.op == "value":
-            inner, keys = self.correlated(e.data, t)
+            inner, keys = self.correlated(self.first_row(e.data), t)
             if len(inner.scope) != 1:
                 raise GqlError("a value subquery returns one column")
             (out,) = inner.scope
             name = self.ctx.fresh("v")
             one = inner.df.select(*map(col, inner.carry), col(out).alias(name))
-            df = t.df.join(one, self.same(keys, inner.carry), "left").drop(*inner.carry) if keys else t.df.crossJoin(one)
+            if not isinstance(e.data, Query):
+                one = one.dropDuplicates(list(inner.carry)) if keys else one.limit(1)
+            df = t.df.join(one, self.same(keys, inner.carry) if keys else F.lit(True), "left").drop(*inner.carry)
             empty = self.empty_value(e.data)
             if empty is not None and keys:
                 df = df.withColumn(name, F.coalesce(col(name), F.lit(empty) if not isinstance(empty, list) else F.array().cast(df.schema[name].dataType)))
@@ -265,6 +271,23 @@ class Compiler:
             args.append(a)
         return t, replace(e, args=tuple(args))
 
+    def first_row(self, sub: Any) -> Any:
+        """A value subquery cut to its first row; without an order, to the one with the least value. A lone aggregate has one row already."""
+        if not isinstance(sub, Query):
+            return sub
+        tail = len(sub.clauses)
+        while tail and isinstance(sub.clauses[tail - 1], Clause) and sub.clauses[tail - 1].kind in ("order", "offset", "limit"):
+            tail -= 1
+        last, rest = sub.clauses[tail - 1] if tail else None, sub.clauses[tail:]
+        names = last.clauses[-1] if isinstance(last, Query) else last
+        if isinstance(names, Project) and names.items and not names.group and all(e.op == "agg" for e, _ in names.items):
+            return sub
+        if any(c.kind == "limit" and self.constant(c.data) == 0 for c in rest):
+            return sub
+        if not any(c.kind == "order" for c in rest) and isinstance(names, Project) and names.items and len(names.items) == 1:
+            rest = (Clause("order", ((Ex("var", data=names.items[0][1]), False, None),)), *rest)
+        return Query((*sub.clauses[:tail], *rest, Clause("limit", Ex("lit", data=1))))
+
     @staticmethod
     def empty_value(sub: Any) -> Any:
         """What a subquery's single aggregate gives over no rows, or None."""
@@ -483,20 +506,56 @@ class Compiler:
         return replace(t, df=df, scope={**t.scope, **{v: inner.scope[v] for v in new}})
 
     def call(self, c: Clause, t: Table) -> Table:
+        """A procedure's rows beside those before it. With arguments that depend on these, it runs once for each distinct tuple of arguments."""
         name, args, wanted = c.data
         if self.ctx.procedures is None or name not in self.ctx.procedures:
             raise GqlError(f"there is no procedure {name}", "42N02")
-        values = [self.constant(a) for a in args]
+        if any(names_used(a) & set(t.scope) for a in args):
+            return self.call_for_each(c, t)
+        df = self.yielded(name, [self.constant(a) for a in args], wanted)
+        kinds = yielded_kinds(df.columns)
+        if t.df is None:
+            return Table(df, kinds)
+        return Table(t.df.join(df, F.lit(True), "left") if c.optional else t.df.crossJoin(df), {**t.scope, **kinds}, t.carry)
+
+    def yielded(self, name: str, values: list, wanted: Any) -> DataFrame:
         df = self.ctx.procedures[name](self.graph, *values)
         if wanted and wanted[0][0] != "*":
             missing = [n for n, _ in wanted if n not in df.columns]
             if missing:
                 raise GqlError(f"{name} does not yield {missing[0]}", "42N09")
             df = df.select(*[col(n).alias(a) for n, a in wanted])
-        kinds = {n: Bound("node") if n == "node_id" or n.endswith("node") else Bound("value") for n in df.columns}
-        if t.df is None:
-            return Table(df, kinds)
-        return Table(t.df.join(df, F.lit(True), "left") if c.optional else t.df.crossJoin(df), {**t.scope, **kinds}, t.carry)
+        return df
+
+    def call_for_each(self, c: Clause, t: Table) -> Table:
+        """The arguments' distinct tuples come to the driver, within a bound, as a procedure builds a plan of its own; their results are joined back."""
+        name, args, wanted = c.data
+        varying = [i for i, a in enumerate(args) if names_used(a) & set(t.scope)]
+        keys = {i: self.ctx.fresh("c") for i in varying}
+        df = t.df
+        for i in varying:
+            df = df.withColumn(keys[i], self.expr(args[i], t))
+        tuples = [tuple(r) for r in df.select(*map(col, keys.values())).distinct().limit(MOST_CALLS + 1).collect()]
+        if len(tuples) > MOST_CALLS:
+            raise GqlError(f"a procedure is called with {MOST_CALLS} different arguments at most", "5GQL2")
+        kinds = df.select(*map(col, keys.values())).schema
+        parts = []
+        for at, values in enumerate(tuples):
+            given = dict(zip(varying, values, strict=True))
+            rows = self.yielded(name, [given[i] if i in given else self.constant(a) for i, a in enumerate(args)], wanted)
+            parts.append(rows.withColumn("#call", F.lit(at)))
+        if not parts:  # no row to call it for
+            out = [a for _, a in wanted] if wanted and wanted[0][0] != "*" else self.ctx.procedures.columns(name)
+            none = df.limit(0).select(*map(col, t.df.columns), *[F.lit(None).cast("long").alias(n) for n in out])
+            return Table(none, {**t.scope, **yielded_kinds(out)}, t.carry)
+        found = reduce(lambda a, b: a.unionByName(b), parts)
+        numbers = self.spark.createDataFrame([(at, *values) for at, values in enumerate(tuples)], T.StructType([T.StructField("#n", T.IntegerType()), *kinds.fields]))
+        renamed = {k: self.ctx.fresh("c") for k in keys.values()}
+        numbers = numbers.select("#n", *[col(k).alias(v) for k, v in renamed.items()])
+        joined = df.join(F.broadcast(numbers), self.same(list(renamed), tuple(renamed.values()))).drop(*renamed, *renamed.values())
+        scope = yielded_kinds([n for n in found.columns if n != "#call"])
+        joined = joined.join(found, col("#n") == col("#call"), "left" if c.optional else "inner").drop("#n", "#call")
+        return Table(joined, {**t.scope, **scope}, t.carry)
 
     # patterns
 
@@ -632,7 +691,15 @@ class Compiler:
         a, b = (self.expr(x, t) for x in e.args)
         if e.data == "/":
             ka, kb = self.dtype(a, t), self.dtype(b, t)
+            if isinstance(ka, scalar.INTERVALS):
+                return a / b
             return scalar.division(a, b, isinstance(ka, scalar.INTEGRAL) and isinstance(kb, scalar.INTEGRAL))
+        if e.data in "+-":
+            ka, kb = self.dtype(a, t), self.dtype(b, t)
+            if isinstance(ka, T.DateType) and isinstance(kb, scalar.INTERVALS):
+                return scalar.date_moved(a, b, kb, 1 if e.data == "+" else -1)
+            if isinstance(kb, T.DateType) and isinstance(ka, scalar.INTERVALS) and e.data == "+":
+                return scalar.date_moved(b, a, ka, 1)
         return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b}[e.data]()
 
     def e_negative(self, e: Ex, t: Table) -> Column:
@@ -725,8 +792,17 @@ class Compiler:
 
     def e_path(self, e: Ex, t: Table) -> Column:
         items = [self.expr(a, t) for a in e.args]
-        edges = F.array(*items[1::2]) if len(items) > 1 else F.array().cast("array<long>")
-        return F.struct(F.array(*items[::2]).alias("nodes"), edges.alias("edges"))
+        nodes, edges = items[::2], items[1::2]
+        none = F.array().cast
+        dirs = [self.direction(a, nodes[i], t) for i, a in enumerate(e.args[1::2])]
+        return F.struct(F.array(*nodes).alias("nodes"), (F.array(*edges) if edges else none("array<long>")).alias("edges"), (F.array(*dirs) if dirs else none("array<tinyint>")).alias("dirs"))
+
+    def direction(self, e: Ex, before: Column, t: Table) -> Column:
+        """How a path takes an edge from the node before it: 0 out, 1 in, 2 undirected; null for an edge that is only known by its id."""
+        v = e.data if e.op == "var" else None
+        if v not in t.scope or t.scope[v].kind != "edge":
+            return F.lit(None).cast("tinyint")
+        return F.when(~col(f"{v}.#directed"), 2).when(before == col(f"{v}.#src"), 0).otherwise(1).cast("tinyint")
 
     def e_trim(self, e: Ex, t: Table) -> Column:
         return scalar.trimmed(e.data, self.expr(e.args[0], t), self.expr(e.args[1], t))
@@ -750,12 +826,18 @@ class Compiler:
             v = self.element(e.args[0], t, ("node", "edge"))
             name = f"{v}.{e.args[1].data}"
             return F.when(col(v).isNotNull(), col(name).isNotNull() if name in t.df.columns else F.lit(False))
+        if e.data == "DURATION" and len(e.args) == 1 and e.args[0].op == "lit" and isinstance(e.args[0].data, str):
+            return scalar.literal_duration(e.args[0].data)
         args = [self.expr(a, t) for a in e.args]
         types = [self.dtype(a, t) for a in args]
         paths = [isinstance(k, T.StructType) and {"nodes", "edges"} <= set(k.names) for k in types]
         return scalar.call(e.data, args, types, paths)
 
 
+def yielded_kinds(names: list[str]) -> dict[str, Bound]:
+    return {n: Bound("node") if n == "node_id" or n.endswith("node") else Bound("value") for n in names}
+
+
 def equal(a: Column, b: Column, ka: T.DataType, kb: T.DataType) -> Column:
     """Member by member with three values: false if any differs, else null if any is undecided."""
     if isinstance(ka, T.StructType):

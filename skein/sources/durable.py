@@ -4,21 +4,38 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a new local one where it is unset (single-machine tests)."""
+    """The folder in ``spark.checkpoint.dir``, or the context's; where neither is set, a new local one, if the driver runs the executors too."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="skein-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    return folder.rstrip("/") if folder else own_folder(spark.sparkContext.master, spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=8)
+def own_folder(master: str, application: str) -> str:
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="skein-")
+
+
+@lru_cache(maxsize=8)
+def of_application(spark: SparkSession, folder: str) -> str:
+    """A folder in it for this application, which goes when the driver ends in good order."""
+    path = f"{folder}/skein-{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again, without lineage and with true sizes."""
-    path = f"{shared_folder(df.sparkSession)}/skein-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{of_application(spark, shared_folder(spark))}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -50,6 +50,13 @@ def orders_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         w = Window.partitionBy("user_id").orderBy("ts", "event_id")
         return read("events").withColumn("next_id", F.lead("event_id").over(w)).filter("next_id is not null")
 
+    def beside(name: str, key: str, where: str) -> Callable:
+        """Rows of a table with those of the next key, where the condition holds between a and b."""
+        return lambda: read(name).alias("a").join(read(name).alias("b"), F.expr(f"b.{key} = a.{key} + 1")).filter(where)
+
+    followed = beside("orders", "o_orderkey", "a.o_orderpriority = '1-URGENT'")
+    alike = beside("embeddings", "vec_id", "a.label = b.label")
+    after_text = beside("documents", "doc_id", "a.lang = b.lang")
     users = NodeTable(frozenset(["User"]), lambda: read("events").select("user_id").distinct().select(node_id("User", "user_id").alias("id"), "user_id"))
     col = F.col
     edges = (
@@ -60,5 +67,8 @@ def orders_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         edge("CONTAINS", lambda: read("lineitem"), ("Order", "l_orderkey"), ("Part", "l_partkey"), 4, col("l_orderkey") * 16 + col("l_linenumber"), col("l_quantity").alias("quantity"), col("l_extendedprice").alias("price"), col("l_discount").alias("discount")),
         edge("SUPPLIED", pairs, ("Supplier", "l_suppkey"), ("Part", "l_partkey"), 5, col("l_suppkey") * (1 << 24) + col("l_partkey"), "weight"),
         edge("NEXT", after, ("Event", "event_id"), ("Event", "next_id"), 6, col("event_id")),
+        edge("FOLLOWED", followed, ("Customer", "a.o_custkey"), ("Customer", "b.o_custkey"), 7, col("a.o_orderkey")),
+        edge("ALIKE", alike, ("Embedding", "a.vec_id"), ("Embedding", "b.vec_id"), 8, col("a.vec_id")),
+        edge("AFTER", after_text, ("Document", "a.doc_id"), ("Document", "b.doc_id"), 9, col("a.doc_id")),
     )
     return PropertyGraph(spark, (*(node(*n) for n in NODES), users), edges)

@@ -67,6 +67,12 @@ def rows(graph: PropertyGraph, text: str, **params) -> list:
         ("RETURN $p AS a, $q::INT AS b", [("v", 4)]),
         ("RETURN DURATION_BETWEEN(DATE '2024-01-31', DATE '2024-03-01') YEAR TO MONTH IS NOT NULL AS a, DATE '2024-01-01' < DATE '2024-01-02' AS b", [(True, True)]),
         ("RETURN DATE({year: 2024, month: 2, day: 3}) = DATE '2024-02-03' AS a, DATE '2024-02-03' + DURATION 'P1D' = LOCAL DATETIME '2024-02-04 00:00:00' AS b", [(True, True)]),
+        ("RETURN CAST(DATE '2024-01-31' + DURATION 'P1M' AS STRING) AS a, CAST(DATE '2024-03-31' - DURATION 'P1Y1M' AS STRING) AS b, CAST(DURATION 'PT36H' + DATE '2024-01-01' AS STRING) AS c", [("2024-02-29", "2023-02-28", "2024-01-02")]),
+        ("RETURN CAST(DURATION 'P1Y2M' AS STRING) AS a, CAST(DURATION '-P1DT2H3.5S' AS STRING) AS b, CAST(DURATION 'PT0S' AS STRING) AS c, DURATION 'P1Y' = DURATION 'P12M' AS d", [("P1Y2M", "-P1DT2H3.5S", "PT0S", True)]),
+        ("RETURN CAST(DURATION({days: 1, hours: 2}) AS STRING) AS a, CAST(DURATION({years: 1, months: 14}) AS STRING) AS b, CAST(CAST('P3D' AS DURATION) AS STRING) AS c", [("P1DT2H", "P2Y2M", "P3D")]),
+        ("RETURN CAST(DURATION_BETWEEN(DATE '2020-01-31', DATE '2021-03-01') YEAR TO MONTH AS STRING) AS a, CAST(DURATION_BETWEEN(DATE '2021-03-01', DATE '2020-01-31') YEAR TO MONTH AS STRING) AS b", [("P1Y1M", "-P1Y1M")]),
+        ("RETURN CAST(TIME '10:11:12' + DURATION 'PT1H' AS STRING) AS a, ZONED_TIME('10:11:12+02:00').offset AS b, TIME '09:00:00' < LOCAL_TIME({hour: 10}) AS c, CURRENT_TIME IS NOT NULL AS d", [("11:11:12", "+02:00", True, True)]),
+        ("FOR x IN [1, 2] RETURN PERCENTILE_DISC(x, NULL) AS a", [(None,)]),
         ("RETURN CARDINALITY(PATH[1, 5, 2]) AS c, PATH_LENGTH(PATH[1, 5, 2]) AS l, ELEMENTS(PATH[1, 5, 2]) AS e", [(3, 1, [1, 5, 2])]),
     ],
 )
@@ -108,6 +114,24 @@ def test_patterns(graph):
     assert rows(graph, "MATCH (a:Person) CALL (a) { MATCH (a)->(b) RETURN COUNT(*) AS n } RETURN a.name AS a, n ORDER BY n DESC, a LIMIT 2") == [("c", 2), ("a", 1)]
 
 
+def test_value_takes_the_first_row(graph):
+    assert rows(graph, "MATCH (a:Person) RETURN a.name AS n, VALUE { MATCH (b:Person {name: 'zz'}) RETURN b.age } AS v ORDER BY n LIMIT 2") == [("a", None), ("b", None)]
+    assert rows(graph, "MATCH (a:Person) RETURN COUNT(VALUE { MATCH (b:Person) RETURN b.name }) AS n") == [(6,)]
+    assert rows(graph, "MATCH (a:Person {name: 'c'}) RETURN VALUE { MATCH (a)->(b) RETURN b.name ORDER BY b.age DESC } AS x, VALUE { MATCH (a)->(b) RETURN b.name ORDER BY b.age } AS y, VALUE { MATCH (a)->(b) RETURN b.name LIMIT 0 } AS z") == [("d", "a", None)]
+    assert rows(graph, "MATCH (a:Person {name: 'c'}) RETURN VALUE { MATCH (a)->(b) RETURN COUNT(*) AS n GROUP BY b.name } AS x, VALUE { MATCH (a)<-(b) RETURN b.name UNION MATCH (a)<-(b) RETURN b.name } AS y") == [(1, "b")]
+
+
+def test_call_for_each_row(graph):
+    assert rows(graph, "MATCH (a:Person) CALL db.reachable_nodes([a], 'KNOWS', 10, 1, 'outgoing') YIELD node_id, depth FILTER depth = 1 RETURN a.name AS n, COUNT(node_id) AS k ORDER BY n") == [("a", 1), ("b", 1), ("c", 2), ("d", 1), ("e", 1), ("f", 1)]
+    assert rows(graph, "MATCH (a:Person {name: 'zz'}) CALL db.reachable_nodes([a], 'KNOWS', 10) YIELD node_id RETURN node_id") == []
+    assert rows(graph, "FOR x IN [[1, 2], [], [1, 2]] OPTIONAL CALL db.reciprocal_rank_fusion([x], 1) YIELD node_id AS m RETURN SIZE(x) AS n, m ORDER BY n") == [(0, None), (2, 1), (2, 1)]
+
+
+def test_paths_compare(graph):
+    assert rows(graph, "MATCH p = (a {name: 'a'})-[e]->(b) RETURN p = PATH[a, e, b] AS x, p = PATH[b, e, a] AS y") == [(True, False)]
+    assert rows(graph, "MATCH (a {name: 'a'})-[e]->(b) RETURN PATH[b, e, a].dirs AS d") == [([1],)]
+
+
 ORIENTATIONS = {"->": "R", "<-": "L", "~": "U", "<->": "RL", "~>": "UR", "<~": "LU", "-": "RLU"}
 
 
@@ -218,6 +242,16 @@ def test_changes_and_transactions(spark):
         one("COMMIT")
 
 
+def test_an_open_graph_stays_open(spark):
+    s = Session.over(PropertyGraph.of_rows(spark, PEOPLE, []))
+    for text in ("CREATE NODE TYPE :Person (name :: STRING)", "CREATE EDGE TYPE :E (FROM :A TO :B)"):
+        with pytest.raises(GqlError, match="0A000"):
+            s.execute(text)
+    s.execute("INSERT (:Dog {name: 'd'})")
+    s.execute("MATCH (n:Dog) FINISH")
+    assert [tuple(r)[3] for r in s.execute("CALL db.health()").collect()] == [False]
+
+
 def test_first_committer_wins(spark):
     catalog = Catalog(spark, {"main": Entry(PropertyGraph.of_rows(spark, PEOPLE, []))})
     a, b = Session(catalog), Session(catalog)
@@ -247,6 +281,7 @@ def test_catalog_and_session(spark):
         with pytest.raises(GqlError, match="G2000"):
             s.execute(bad)
     assert s.execute("MATCH (n:Person) RETURN COUNT(*) AS n").collect()[0].n == 1
+    assert s.execute("CALL db.health()").collect()[0].schema_bound
     s.execute("SESSION SET VALUE $who = 'a'")
     assert s.execute("MATCH (n:Person {name: $who}) RETURN n.mail AS m").collect()[0].m == "m"
     s.execute("CREATE INDEX i ON :Person (name)")

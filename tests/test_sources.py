@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.session import Session
@@ -23,7 +24,7 @@ def test_round_trip_on_disk(spark, tmp_path):
 
 def test_tables_are_read_when_picked(spark):
     g = orders_graph(spark, "/nowhere")  # nothing is there, and nothing is read
-    assert len(g.nodes) == 10 and len(g.edges) == 7
+    assert len(g.nodes) == 10 and len(g.edges) == 10
     assert [t.label for t in g.edge_tables(("label", "PLACED"))] == ["PLACED"]
 
 
@@ -44,3 +45,12 @@ def test_refresh_and_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(seen, key=str) == [2, 3, None]
+
+
+def test_only_a_local_driver_makes_a_folder_of_its_own():
+    from skein.sources.durable import own_folder
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            own_folder(master, "app")
+    assert own_folder("local[2]", "app") == own_folder("local[2]", "app")
