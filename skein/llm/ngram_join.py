@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -220,8 +220,13 @@ def verified(rows: DataFrame, spec: JaccardJoin) -> DataFrame:
     return rows.mapInArrow(tidy(run), "node long, links long, other long")
 
 
-def near_duplicates(docs: DataFrame, spec: JaccardJoin = JaccardJoin(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, class_id, n_links, n_copies), one for each row of ``docs``.
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What tells rows apart: a hash of id and text, equal for repeated rows."""
+    return F.xxhash64(doc_id, text)
+
+
+def near_duplicates(docs: DataFrame, spec: JaccardJoin = JaccardJoin(), doc_id: str = "doc_id", text: str = "text", with_keys: bool = False) -> DataFrame:
+    """Rows (doc_id, class_id, n_links, n_copies), one for each row of ``docs``; with ``with_keys`` also key (``row_key``) and first_key: that of the class's row with the smallest id (null last, ties to the smaller key), null for texts without words.
 
     class_id is the smallest doc_id of the texts that links join, directly or
     through others; n_links is the number of other rows whose n-gram sets have
@@ -238,9 +243,9 @@ def near_duplicates(docs: DataFrame, spec: JaccardJoin = JaccardJoin(), doc_id:
     verify. Nothing is collected; a clash of two texts' 64-bit hashes has a
     chance of n^2 / 2^65 among n different texts.
     """
-    keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.lit("null"), F.col(text))).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
+    keyed = docs.select(row_key(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
     rows = written(signed(keyed, spec), "signatures")
-    classes = written(rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "text-classes")
+    classes = written(rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"), F.count("*").alias("copies")), "text-classes")
     one = rows.filter("node is not null").select("key", "node", "bands").join(classes.select("key", "node"), ["key", "node"])
     buckets = one.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "node")
     lowest = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("bucket", "least")
@@ -259,7 +264,8 @@ def near_duplicates(docs: DataFrame, spec: JaccardJoin = JaccardJoin(), doc_id:
     joined = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")), "linked")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.select("node", "least", "copies").join(links, "node", "left").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    known = known.join(least, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    out = rows.select("doc_id", "node").join(known, "node", "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    least = known.groupBy("root").agg(F.min("least").alias("first"))
+    known = known.join(least, "root").select("node", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("first_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    out = rows.select("doc_id", "key", "node").join(known, "node", "left")
+    keys = ["key", "first_key"] if with_keys else []
+    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), *keys)

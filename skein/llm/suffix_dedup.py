@@ -41,12 +41,14 @@ from .text import Slice, mix, slices, tidy
 
 @dataclass(frozen=True)
 class RepeatRules:
-    """length: bytes of the shortest repeat; gram: bytes that make an anchor; run_bytes: most bytes of a run; partition_entries: suffixes that a partition is meant to hold."""
+    """length: bytes of the shortest repeat; gram: bytes that make an anchor; run_bytes: most bytes of a run; partition_entries: suffixes that a partition is meant to hold; words: words that a removed run holds at least; gap: what stands in the text between the parts around a removed run."""
 
     length: int = 400
     gram: int = 32
     run_bytes: int = 16 << 20
     partition_entries: int = 20_000
+    words: int = 0
+    gap: str = ""
 
 
 SLICE = 1 << 18
@@ -326,20 +328,20 @@ def repeats(runs: DataFrame, rules: RepeatRules) -> DataFrame:
     return runs.mapInArrow(tidy(run), "key long, start long, stop long")
 
 
-def without(raw: bytes, spans: list) -> tuple[bytes, int, int]:
-    """The bytes outside the spans, how many were inside, and the number of maximal runs of these."""
-    kept, at, removed, runs = [], 0, 0, 0
+def without(raw: bytes, spans: list, words: int = 0) -> tuple[list[bytes], int, int]:
+    """The parts outside the maximal runs of the spans, how many bytes were inside, and the number of runs. Runs of fewer than ``words`` words stay."""
+    runs = []
     for start, stop in sorted(spans):
-        if start > at or not runs:
-            kept.append(raw[at:start])
-            runs += 1
-            removed += stop - start
-            at = stop
-        elif stop > at:
-            removed += stop - at
-            at = stop
-    kept.append(raw[at:])
-    return b"".join(kept), removed, runs
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], stop)
+        else:
+            runs.append([start, stop])
+    if words:
+        runs = [r for r in runs if len(raw[r[0] : r[1]].split()) >= words]
+    ends = [0, *(r[1] for r in runs)]
+    starts = [*(r[0] for r in runs), len(raw)]
+    kept = [raw[x:y] for x, y in zip(ends, starts, strict=True) if x < y]
+    return kept, len(raw) - sum(map(len, kept)), len(runs)
 
 
 def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), keep: tuple[str, ...] = (), doc_id: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
@@ -347,7 +349,8 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), keep: tu
 
     A repeat is a string of ``length`` bytes of UTF-8 that also starts anywhere
     else, in this text or another; all its occurrences go, and overlapping ones
-    count. Matches never cross texts and are judged on the input. The text that
+    count. With ``words``, a maximal run of removed bytes that holds fewer words
+    (cut ones included) stays. Matches never cross texts and are judged on the input. The text that
     is left loses characters that a cut has halved; with ``digests``,
     kept_sha256 of the exact bytes stands in its place.
 
@@ -391,8 +394,8 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), keep: tu
             for i in range(batch.num_rows):
                 lo, hi = ends[i], ends[i + 1]
                 mine = list(zip(starts[lo:hi].tolist(), stops[lo:hi].tolist(), strict=True)) if hi > lo else []
-                kept, removed, count = without(raw[off[i] : off[i + 1]], mine)
-                rows.append((removed, count, hashlib.sha256(kept).hexdigest() if digests else kept.decode("utf-8", "ignore")))
+                kept, removed, count = without(raw[off[i] : off[i + 1]], mine, rules.words)
+                rows.append((removed, count, hashlib.sha256(b"".join(kept)).hexdigest() if digests else rules.gap.join(x.decode("utf-8", "ignore") for x in kept)))
             more = [pa.array(np.diff(off)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(width)), *more], names=["doc_id", *keep, "n_bytes", "n_removed", "n_spans", last])
 
