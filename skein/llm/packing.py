@@ -37,8 +37,8 @@ WINDOW = 4096
 END_ID = 2
 MOST_COLUMNS = 20_000
 SWEEPS = 25
-MOST_KNOWN = 400_000
-ROWS = 1024
+MOST_KNOWN = 250_000
+ROWS = 512
 
 
 class PieceIds:
