@@ -178,11 +178,59 @@ def test_pipeline_stages(spark):
     assert p.run(spark, "/root/testdata/sf0.001").count() > 0
 
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, rows: list):
+    return spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], DOCUMENTS)
+
+
 def test_near_duplicates_leave_one_of_each_group(spark):
     import corpus_pipeline as p
 
-    base = [f"word{i}" for i in range(100)]
-    near = [*base[:50], "other", *base[51:]]
-    rows = [(3, " ".join(base), "en", "s", 1), (1, " ".join(near), "en", "s", 1), (2, "quite different text of its own here", "en", "s", 1), (None, " ".join(base), "en", "s", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert {r.doc_id for r in p.jaccard_join(spark, docs, "").collect()} == {1, 2, None}
+    base = " ".join(f"word{i}" for i in range(100))
+    near = base.replace("word50", "other")
+    rows = [(3, base), (1, near), (2, "quite different text of its own here"), (None, base), (1, "another text under an id that is there already"), (7, "a row that comes twice, word for word"), (7, "a row that comes twice, word for word"), (None, "no id"), (None, "no id"), (9, None), (9, None), (8, " ")]
+    got = sorted(((r.doc_id, r.text) for r in p.jaccard_join(spark, documents(spark, rows), "").collect()), key=repr)
+    want = [(1, near), rows[2], rows[4], rows[5], rows[7], (9, None), (9, None), (8, " ")]
+    assert got == sorted(want, key=repr)
+    assert p.jaccard_join(spark, documents(spark, rows[:0]), "").count() == 0
+
+
+def test_repeated_passages_go(spark):
+    """Passages of over 50 short words go, wherever they repeat; what is clean stays as it is."""
+    import corpus_pipeline as p
+
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("a", "en", "ort", "ing")]
+    said = lambda n: " ".join(rng.choices(words, k=n))
+    passage, short, clean = said(55), said(30), [(i, said(120)) for i in range(5)]
+    rows = [*clean, (10, f"{said(150)} {passage} {said(40)}"), (11, f"{said(80)} {passage}"), (12, passage + " " + said(30)), (13, passage + " few"), (20, f"{said(60)} {short}"), (21, f"{short} {said(60)}"), (30, ""), (31, None)]
+    assert 200 < len(passage) < 250 and len(short) < 200
+    got = {r.doc_id: r.text for r in p.suffix_dedup(spark, documents(spark, rows), "").collect()}
+    assert {i: t for i, t in got.items() if i < 10 or i >= 20} == {i: t or "" for i, t in rows if i < 10 or i >= 20}
+    assert passage not in got[10] and passage not in got[11]
+    assert got[10].split()[:149] == rows[5][1].split()[:149] and got[10].split()[-39:] == rows[5][1].split()[-39:]
+    assert "\n" in got[10] and "\n" not in got[11]
+    assert 12 not in got and 13 not in got  # more than half of their bytes are the passage
+
+
+def test_stages_leave_no_shared_passage(spark):
+    """After the suffix stage no string of 50 words is in two documents, and only documents that had one have changed."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shingles = lambda t: {tuple(w[i : i + 50]) for w in [(t or "").split()] for i in range(len(w) - 49)}
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r.text for r in p.suffix_dedup(spark, docs, "").collect()}
+    owners = defaultdict(set)
+    for i, t in before.items():
+        for x in shingles(t):
+            owners[x].add(i)
+    shared = set().union(*(o for o in owners.values() if len(o) > 1))
+    assert len(shared) > 50 and all(i in after and after[i] != before[i] or i not in after for i in shared)
+    left = defaultdict(set)
+    for i, t in after.items():
+        for x in shingles(t):
+            left[x].add(i)
+    assert all(len(o) == 1 for o in left.values())
