@@ -2,8 +2,10 @@
 
 What is a join or an aggregate is one: components, paths, PageRank, triangles.
 What depends on the order of updates (label propagation, Louvain) or on a
-depth-first search (strong components, cut points, bridges, levels) reads its
-own weak component alone, so it runs in Arrow batches by component.
+depth-first search reads its own weak component alone, so it runs in Arrow
+batches by component. Strong components and levels do so only in components
+that a task holds with ease; larger ones are searched by rounds of joins, and
+so is betweenness in graphs that are too large to broadcast.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict, deque
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -24,8 +27,10 @@ from skein.sources.graph import PropertyGraph
 
 from .components import components
 
-#: Most edges that betweenness broadcasts.
-MOST_BROADCAST_EDGES = 10_000_000
+#: Most edges that betweenness broadcasts; more are joined.
+MOST_BROADCAST_EDGES = 2_000_000
+#: Most nodes and edges of a component that one task searches; larger ones are joined.
+MOST_IN_TASK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -77,9 +82,22 @@ def wcc(p: Projection) -> DataFrame:
     return p.vertices.join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node_id"), F.coalesce("root", "id").alias("component_id"))
 
 
-def by_component(p: Projection, run, schema: str, orientation: str = "natural") -> DataFrame:
+def large_part(p: Projection, part: DataFrame) -> tuple[Projection, DataFrame | None]:
+    """The projection without large components, whose nodes are (component_id, node_id) in ``part``; and the nodes of these (id), if there are any."""
+    size = part.groupBy("component_id").agg(F.count("*").alias("n"))
+    arcs = p.edges.join(part, F.col("src") == F.col("node_id")).groupBy("component_id").agg(F.count("*").alias("m"))
+    large = written(size.join(arcs, "component_id", "left").filter(F.col("n") + F.coalesce("m", F.lit(0)) > MOST_IN_TASK).select("component_id"), "large-components")
+    if large.isEmpty():
+        return p, None
+    nodes = written(part.join(large, "component_id").select(F.col("node_id").alias("id")), "large-nodes")
+    ends = nodes.select(F.col("id").alias("v"))
+    rest = Projection(p.name, p.vertices.join(nodes, "id", "left_anti"), p.edges.join(ends, F.col("src") == F.col("v"), "left_anti"))
+    return rest, nodes
+
+
+def by_component(p: Projection, run, schema: str, orientation: str = "natural", part: DataFrame | None = None) -> DataFrame:
     """``run(ids, edges)`` for each weak component; ids ascend, edges are (src, dst, weight, eid, directed), each once."""
-    part = wcc(p)
+    part = wcc(p) if part is None else part
     nodes = part.select(F.col("component_id").alias("c"), F.col("node_id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("weight"), F.lit(None).cast("long").alias("eid"), F.lit(True).alias("directed"))
     edges = p.edges.join(part, F.col("src") == F.col("node_id")).select(F.col("component_id").alias("c"), "src", "dst", "weight", "eid", "directed")
 
@@ -145,7 +163,47 @@ def scc(p: Projection) -> DataFrame:
                             comp[w] = min(group)
         return pd.DataFrame({"node_id": ids, "component_id": [int(ids[c]) for c in comp]})
 
-    return by_component(p, run, "node_id long, component_id long")
+    part = written(wcc(p), "components")
+    rest, large = large_part(p, part)
+    out = by_component(rest, run, "node_id long, component_id long", part=None if large is not None else part)
+    return out if large is None else out.union(scc_by_joins(large, p.arcs().select("src", "dst")))
+
+
+def scc_by_joins(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(node_id, component_id) by rounds: each node takes the smallest node that reaches it as colour; those of a colour that reach the
+    colour's node in turn are its component, and the rest goes on without them. A colour is the smallest node of its component."""
+    arcs = written(arcs.filter("src <> dst").distinct().join(nodes.select(F.col("id").alias("src")), "src", "left_semi"), "scc-arcs")
+    out = None
+    while True:
+        # a node without an arc in or without an arc out is a component of its own
+        ends = [arcs.select(F.col(c).alias("id")) for c in ("src", "dst")]
+        inner = nodes.join(ends[0], "id", "left_semi").join(ends[1], "id", "left_semi")
+        single = written(nodes.join(inner, "id", "left_anti").select(F.col("id").alias("node_id"), F.col("id").alias("component_id")), "scc-single")
+        if single.isEmpty():
+            colour = written(nodes.select("id", F.col("id").alias("colour")), "scc-colours")
+            fresh = colour
+            while not fresh.isEmpty():
+                sent = fresh.join(arcs, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("colour").alias("sent"))
+                after = colour.join(sent.hint("shuffle_hash"), F.col("id") == F.col("dst"), "left")
+                after = written(after.select("id", F.least("colour", "sent").alias("colour"), F.coalesce(F.col("sent") < F.col("colour"), F.lit(False)).alias("new")), "scc-colours")
+                colour, fresh = after.select("id", "colour"), after.filter("new").select("id", "colour")
+            inside = arcs.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("b")), "dst").filter("a = b")
+            inside = written(inside.select("src", "dst"), "scc-inside")
+            found = fresh = written(colour.filter("id = colour"), "scc-found")
+            while not fresh.isEmpty():
+                near = fresh.join(inside, F.col("id") == F.col("dst")).select(F.col("src").alias("id"), "colour").distinct()
+                fresh = written(near.join(found, "id", "left_anti"), "scc-found")
+                found = found.union(fresh)
+            done = found.select(F.col("id").alias("node_id"), F.col("colour").alias("component_id"))
+        else:
+            done = single
+        done = written(done, "scc-done")
+        out = done if out is None else out.union(done)
+        gone = done.select("node_id")
+        nodes = written(nodes.join(gone, F.col("id") == F.col("node_id"), "left_anti"), "scc-nodes")
+        if nodes.isEmpty():
+            return out
+        arcs = written(arcs.join(gone, F.col("src") == F.col("node_id"), "left_anti").join(gone, F.col("dst") == F.col("node_id"), "left_anti"), "scc-arcs")
 
 
 def topological_sort(p: Projection) -> DataFrame:
@@ -172,8 +230,39 @@ def topological_sort(p: Projection) -> DataFrame:
             raise ValueError(f"22G20: a cycle runs through node {int(ids[next(i for i, k in enumerate(into) if k)])}")
         return pd.DataFrame({"node_id": ids, "level": level_of})
 
-    levels = by_component(p, run, "node_id long, level int")
-    return levels.select("node_id", (F.row_number().over(Window.orderBy("level", "node_id")) - 1).cast("long").alias("topo_position")).orderBy("topo_position")
+    part = written(wcc(p), "components")
+    rest, large = large_part(p, part)
+    levels = by_component(rest, run, "node_id long, level int", part=None if large is not None else part)
+    if large is not None:
+        levels = levels.union(levels_by_joins(large, p.arcs().select("src", "dst")))
+    levels = written(levels, "levels")
+    # places are sums over runs of neighbouring ids, and then inside a run, so that no task holds a whole level
+    run_of = F.floor(F.col("node_id") / RUN)
+    runs = levels.groupBy("level", run_of.alias("run")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("level", "run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(F.col("level").alias("l"), F.col("run").alias("r"), before.alias("base"))
+    inside = F.row_number().over(Window.partitionBy("level", run_of).orderBy("node_id"))
+    placed = levels.withColumn("i", inside).withColumn("run", run_of).join(runs, (F.col("level") == F.col("l")) & (F.col("run") == F.col("r")))
+    return placed.select("node_id", (F.col("base") + F.col("i") - 1).cast("long").alias("topo_position")).orderBy("topo_position")
+
+
+#: Ids in a run of neighbours.
+RUN = 1 << 16
+
+
+def levels_by_joins(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(node_id, level) by peeling off the nodes that no arc leads to any more."""
+    arcs = written(arcs.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").distinct(), "level-arcs")
+    out, level = None, 0
+    while not nodes.isEmpty():
+        free = written(nodes.join(arcs.select(F.col("dst").alias("id")), "id", "left_anti"), "level-free")
+        if free.isEmpty():
+            raise GqlError(f"a cycle runs through node {nodes.agg(F.min('id')).first()[0]}", "22G20")
+        now = free.select(F.col("id").alias("node_id"), F.lit(level).alias("level"))
+        out, level = now if out is None else out.union(now), level + 1
+        nodes = written(nodes.join(free, "id", "left_anti"), "level-nodes")
+        arcs = written(arcs.join(free.select(F.col("id").alias("src")), "src", "left_anti"), "level-arcs")
+    return out
 
 
 def _biconnected(ids: np.ndarray, edges: list) -> tuple[set, set]:
@@ -329,12 +418,10 @@ def pagerank(p: Projection, damping: float | None = None, max_iterations: int |
 
 
 def betweenness(p: Projection, sample_size: int | None = None, parallelism: int | None = None) -> DataFrame:
-    """Brandes from each source (or from an even sample, scaled up), over an adjacency that is broadcast within a checked size."""
+    """Brandes from each source (or from an even sample, scaled up), over an adjacency that is broadcast within a checked size, and by joins beyond."""
     parallel(parallelism)
     spark = p.vertices.sparkSession
     arcs = p.arcs().select("src", "dst")
-    if arcs.count() > MOST_BROADCAST_EDGES:
-        raise GqlError(f"betweenness takes {MOST_BROADCAST_EDGES} edges at most", "22G22")
     n = p.vertices.count()
     if sample_size is not None and sample_size < n:
         k = sample_size
@@ -345,6 +432,9 @@ def betweenness(p: Projection, sample_size: int | None = None, parallelism: int
         sources, scale = numbered.filter(F.col("at").isin(places)).select("id"), n / k
     else:
         sources, scale = p.vertices, 1.0
+    if arcs.count() > MOST_BROADCAST_EDGES:
+        parts = dependencies(sources, arcs).groupBy("id").agg((F.sum("part") * scale).alias("score"))
+        return ranked(p.vertices.join(parts, "id", "left").select(F.col("id").alias("node_id"), F.coalesce("score", F.lit(0.0)).alias("score")), "score")
     table = arcs.toArrow()
     pairs = np.stack([table[c].to_numpy() for c in ("src", "dst")], axis=1)
     names, inverse = np.unique(pairs, return_inverse=True)
@@ -386,6 +476,30 @@ def betweenness(p: Projection, sample_size: int | None = None, parallelism: int
     return ranked(p.vertices.join(parts, "id", "left").select(F.col("id").alias("node_id"), F.coalesce("score", F.lit(0.0)).alias("score")), "score")
 
 
+def dependencies(sources: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(id, part): what each source adds to a node's betweenness. Breadth first from all sources at once, level by level, and back."""
+    arcs = written(arcs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("times")), "between-arcs")
+    start = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("paths"))
+    levels = [written(start, "between-level")]
+    while True:
+        grown = levels[-1].join(arcs, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum(F.col("paths") * F.col("times")).alias("paths"))
+        for seen in levels:
+            grown = grown.join(seen.select("source", "node"), ["source", "node"], "left_anti")
+        grown = written(grown, "between-level")
+        if grown.isEmpty():
+            break
+        levels.append(grown)
+    credit, out = levels[-1].withColumn("credit", F.lit(0.0)), []
+    for above in levels[-2::-1]:
+        out.append(credit.select(F.col("node").alias("id"), F.col("credit").alias("part")))
+        below = credit.select("source", F.col("node").alias("dst"), ((1 + F.col("credit")) / F.col("paths")).alias("share"))
+        given = below.join(arcs, "dst").groupBy("source", F.col("src").alias("node")).agg(F.sum(F.col("share") * F.col("times")).alias("share"))
+        credit = above.join(given, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("credit"))
+        credit = written(credit, "between-credit")
+    out.append(credit.limit(0).select(F.col("node").alias("id"), F.col("credit").alias("part")))  # a source takes no part in its own paths
+    return reduce(lambda a, b: a.union(b), out)
+
+
 def _incident(ids: np.ndarray, edges: list) -> list:
     at = {int(v): i for i, v in enumerate(ids)}
     near: list = [[] for _ in at]

@@ -136,6 +136,8 @@ def reachable(graph: PropertyGraph, roots: list, edge_label: str | None, k: int,
         if new.isEmpty():
             break
         seen, frontier = seen.union(new), new.select("id")
+        if depth % 8 == 0:  # else the plan grows with the depth
+            seen = written(seen, "reached")
     return seen.select(F.col("id").alias("node_id"), "depth").orderBy("depth", "node_id").limit(positive(k))
 
 

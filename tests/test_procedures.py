@@ -157,6 +157,26 @@ def test_topological_order(spark):
         call(s, "algo.wcc('p')")
 
 
+def test_large_components_are_searched_by_joins(random_graph, spark, monkeypatch):
+    """The same results, whether a task holds a component or it is joined."""
+    from skein.operators import algorithms
+
+    s, _ = random_graph
+    chain = [(i, i + 1) for i in range(1, 9)] + [(1, 5), (3, 9), (20, 21)]
+    g = PropertyGraph.of_rows(spark, [{"id": i, "labels": ["N"]} for i in (*range(1, 10), 20, 21, 30)], [{"id": 100 + k, "label": "E", "src": a, "dst": b} for k, (a, b) in enumerate(chain)])
+    t = Session.over(g)
+    t.execute("CALL algo.projection_build('p')")
+    calls = [(s, "algo.scc('p')"), (t, "algo.scc('p')"), (t, "algo.topological_sort('p')"), (s, "algo.betweenness('p', NULL, NULL)"), (s, "algo.betweenness('p', 7, NULL)"), (t, "algo.betweenness('p', NULL, NULL)")]
+    rounded = lambda rows: sorted((r[0], round(r[1], 9)) for r in rows)
+    before = [rounded(call(x, text)) for x, text in calls]
+    monkeypatch.setattr(algorithms, "MOST_IN_TASK", 5)
+    monkeypatch.setattr(algorithms, "MOST_BROADCAST_EDGES", 0)
+    monkeypatch.setattr(algorithms, "RUN", 4)
+    assert [rounded(call(x, text)) for x, text in calls] == before
+    with pytest.raises(GqlError, match="22G20"):
+        call(s, "algo.topological_sort('p')")
+
+
 @pytest.fixture(scope="module")
 def library(spark):
     random.seed(4)
