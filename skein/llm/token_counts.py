@@ -4,7 +4,8 @@ Two deterministic transducers stand in series. The first (``pieces``) marks
 where the pre-tokenizer's pieces begin; its chunk state maps compose through a
 parallel prefix scan. The second reads the bytes of a piece, and each of its
 transitions carries the number of tokens that it emits, so a piece's count is
-the sum along its path.
+the sum along its path. A piece of ordinary length is one chunk; in a long one
+chunks have state maps with counts, which compose in the same way.
 
 Why the second is finite: byte-pair encoding is local. A sequence of tokens is
 the encoding of its bytes if and only if every two neighbours are the encoding
@@ -14,6 +15,8 @@ holds, for each earlier boundary from which a token may still grow: the trie
 node reached, the last token there, and how many tokens fewer there are up to
 it. Tokens are of bounded length, so states are finitely many; they are
 compiled when first met, and the tables are emptied when they pass a bound.
+Whether two tokens are neighbours follows from the ranks of the merges that
+make them, without encoding them again.
 """
 
 from __future__ import annotations
@@ -40,70 +43,102 @@ def byte_letters() -> dict[str, int]:
 
 
 class CountingTransducer:
-    """Counts tokens of byte-level BPE by steps over bytes."""
+    """Counts tokens of byte-level BPE by steps over bytes. Tokens are numbers into ``words``."""
 
     MOST_STATES = 100_000
     MOST_PIECES = 300_000
+    CHUNK, WARM = 256, 64
 
     def __init__(self, vocab: dict[bytes, int], merges: dict[tuple[bytes, bytes], int]):
+        self.words = list(vocab)
         self.merges = merges
+        n, number = len(self.words), {w: i for i, w in enumerate(self.words)}
+        #: Rank of the merge of two tokens, by first * n + second.
+        self.ranks = {number[a] * n + number[b]: rank for (a, b), rank in merges.items() if a in number and b in number}
+        #: The merge that ends a token's own encoding: its rank (-1 for a byte) and the two parts.
+        self.birth, self.left, self.right = [-1] * n, [-1] * n, [-1] * n
         self.trie: list[dict[int, int]] = [{}]
-        self.token: list[bytes | None] = [None]
-        for word in vocab:
+        self.token = [-1]
+        for i, word in enumerate(self.words):
             node = 0
             for b in word:
                 after = self.trie[node].get(b)
                 if after is None:
                     after = self.trie[node][b] = len(self.trie)
                     self.trie.append({})
-                    self.token.append(None)
+                    self.token.append(-1)
                 node = after
-            # a token that merges cannot build never ends an encoding
-            self.token[node] = word if self.encode(word) == [word] else None
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+            parts, last = self.encode(word)
+            if parts == [word]:  # a token that merges cannot build never ends an encoding
+                self.token[node] = i
+                if last:
+                    self.birth[i], self.left[i], self.right[i] = merges[last], number[last[0]], number[last[1]]
+        self.pairs: dict[int, bool] = {}
         self.counts: dict[bytes, int] = {}
         self.forget()
 
     def forget(self) -> None:
-        start = ((0, None, 0),)
+        start = ((0, -1, 0),)
         self.states: dict[tuple, int] = {start: 0}
         self.items: list[tuple] = [start]
         self.steps: list[dict[int, tuple[int, int]]] = [{}]
 
-    def encode(self, word: bytes) -> list[bytes]:
-        """The encoding by its definition: the earliest-ranked pair merges first, the leftmost of equals."""
-        parts = [word[i : i + 1] for i in range(len(word))]
+    def encode(self, word: bytes) -> tuple[list[bytes], tuple[bytes, bytes] | None]:
+        """The encoding by its definition (the earliest-ranked pair merges first, the leftmost of equals), and the last pair merged."""
+        parts, last = [word[i : i + 1] for i in range(len(word))], None
         while len(parts) > 1:
             rank, i = min((self.merges.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
             if rank == 1 << 60:
                 break
+            last = parts[i], parts[i + 1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        return parts, last
 
-    def adjoin(self, a: bytes | None, b: bytes) -> bool:
-        if a is None:
+    def stays(self, a: int, b: int) -> bool:
+        """Whether a, b is the encoding of their bytes: no merge across the boundary comes before the parts at it are merged away from it.
+
+        The merges are followed back in time, from the two tokens to their
+        bytes at the boundary; of equal ranks the left one merges first.
+        """
+        birth, ranks, n = self.birth, self.ranks, len(self.words)
+        end_a = end_b = 1 << 60
+        while True:
+            rank = ranks.get(a * n + b)
+            if rank is not None and rank < end_a and rank <= end_b:
+                return False
+            if birth[a] > birth[b]:
+                end_a, a = birth[a], self.right[a]
+            elif birth[b] >= 0:
+                end_b, b = birth[b], self.left[b]
+            else:
+                return True
+
+    def adjoin(self, a: int, b: int) -> bool:
+        if a < 0:
             return True
-        found = self.pairs.get((a, b))
+        key = a * len(self.words) + b
+        found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.encode(a + b) == [a, b]
+            found = self.pairs[key] = self.stays(a, b)
         return found
 
     def compiled(self, state: int, byte: int) -> tuple[int, int]:
-        grown, last, emitted = [], None, None
+        grown, last, emitted = [], -1, 0
+        trie, token = self.trie, self.token
         for node, before, behind in self.items[state]:
-            child = self.trie[node].get(byte)
+            child = trie[node].get(byte)
             if child is None:
                 continue
-            word = self.token[child]
-            if emitted is None and word is not None and self.adjoin(before, word):
+            word = token[child]
+            if last < 0 <= word and self.adjoin(before, word):
                 last, emitted = word, behind + 1
-            if self.trie[child]:
+            if trie[child]:
                 grown.append((child, before, behind))
-        if emitted is None:
+        if last < 0:
             raise ValueError(f"no token ends after byte {byte}: the vocabulary lacks single bytes")
-        after = (*((node, before, behind - emitted) for node, before, behind in grown), (0, last, 0))
+        after = (*[(node, before, behind - emitted) for node, before, behind in grown], (0, last, 0))
         to = self.states.get(after)
         if to is None:
             to = self.states[after] = len(self.items)
@@ -112,15 +147,33 @@ class CountingTransducer:
         step = self.steps[state][byte] = (to, emitted)
         return step
 
-    def count(self, piece: bytes) -> int:
-        if len(self.items) > self.MOST_STATES:
-            self.forget()
-        steps, state, total = self.steps, 0, 0
-        for byte in piece:
+    def run(self, chunk: bytes, state: int = 0) -> tuple[int, int]:
+        """The chunk's state map at one entry: the state after it, and the tokens emitted on the way."""
+        steps, total = self.steps, 0
+        for byte in chunk:
             step = steps[state].get(byte) or self.compiled(state, byte)
             state = step[0]
             total += step[1]
-        return total
+        return state, total
+
+    def count(self, piece: bytes) -> int:
+        if len(self.items) > self.MOST_STATES:
+            self.forget()
+        return self.run(piece)[1] if len(piece) <= self.CHUNK else self.count_chunks(piece)
+
+    def count_chunks(self, piece: bytes) -> int:
+        """A long piece in chunks. Each chunk's map is taken at the entry that the bytes before it suggest; maps whose
+        neighbours do not fit are taken again at the entry that they turn out to have, and a prefix scan composes them."""
+        cuts = range(0, len(piece), self.CHUNK)
+        entry = np.array([0, *(self.run(piece[at - self.WARM : at])[0] for at in cuts[1:])])
+        leave, emitted = (np.array(x) for x in zip(*(self.run(piece[at : at + self.CHUNK], int(e)) for at, e in zip(cuts, entry, strict=True)), strict=True))
+        while True:
+            misfit = np.flatnonzero(entry[1:] != leave[:-1]) + 1
+            if not len(misfit):
+                return int(np.add.accumulate(emitted)[-1])
+            for k in misfit.tolist():
+                entry[k] = leave[k - 1]
+                leave[k], emitted[k] = self.run(piece[cuts[k] : cuts[k] + self.CHUNK], int(entry[k]))
 
     def count_all(self, pieces: list[bytes]) -> np.ndarray:
         known = self.counts

@@ -16,7 +16,7 @@ from skein.llm.byte_bpe import encode_and_decode, round_trip, tree_encoder
 from skein.llm.pieces import piece_starts
 from skein.llm.quality import RULES, judge_repetition, measures
 from skein.llm.text import slices
-from skein.llm.token_counts import count_slice, count_tokens
+from skein.llm.token_counts import compiled_tokenizer, count_slice, count_tokens
 from skein.llm.vocabulary import library_tokenizer, vocabulary_path
 
 PARTS = ["a", "'s", "'", "re", "'re", "'ve", "l", " ", "  ", "\n", "\t", "\xa0", "1", "é", "!", "...", "<|endoftext|>", "中", "🙂", "\x1c", "́", "٣", "aaaa", "ing", "'T", "　", "\x85"]
@@ -135,6 +135,33 @@ def test_token_counts_equal_the_library(limit):
     assert got == [len(library.encode(t or "", add_special_tokens=False).ids) for t in values]
 
 
+def test_neighbours_follow_from_merge_ranks():
+    """Against the encoding by its definition, for pairs of any tokens and of tokens of repeated letters."""
+    transducer, _ = compiled_tokenizer(vocabulary_path("byte_bpe_50k.json"))
+    random.seed(12)
+    known = [i for i in transducer.token if i >= 0]
+    alike = [i for i in known if len(set(transducer.words[i])) <= 2 and len(transducer.words[i]) < 20]
+    for some in (known, alike):
+        for _ in range(4000):
+            a, b = random.choice(some), random.choice(some)
+            x, y = transducer.words[a], transducer.words[b]
+            assert transducer.stays(a, b) == (transducer.encode(x + y)[0] == [x, y])
+
+
+@pytest.mark.parametrize("chunk", [3, 7, 64])
+def test_chunk_maps_compose(chunk):
+    transducer, _ = compiled_tokenizer(vocabulary_path("byte_bpe_50k.json"))
+    library = library_tokenizer(vocabulary_path("byte_bpe_50k.json"))
+    random.seed(13)
+    before = transducer.CHUNK, transducer.WARM
+    try:
+        transducer.CHUNK, transducer.WARM = chunk, min(chunk, 5)
+        for piece in ["a" * 1000, "ab" * 700, "x" * 999 + "y", *("".join(random.choices("aeinrst", k=random.randint(1, 900))) for _ in range(40))]:
+            assert transducer.count_chunks(piece.encode()) == transducer.run(piece.encode())[1] == len(library.encode(piece).ids)
+    finally:
+        transducer.CHUNK, transducer.WARM = before
+
+
 @pytest.mark.parametrize("limit", [700, 1 << 20])
 def test_encoding_equals_the_library_and_decodes_back(limit):
     import public_tokenizers
