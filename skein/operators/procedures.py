@@ -7,6 +7,7 @@ bare name in any namespace but ``algo``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -165,10 +166,29 @@ def health(g: PropertyGraph) -> DataFrame:
     return rows(g, [(g.name, n, sum(t.df.count() for t in g.edges), bool(g.extra.get("type")))], "graph_id string, node_count long, edge_count long, schema_bound boolean")
 
 
-@procedure("feature_status", "", "feature, status, note")
+#: Feature, status, rationale, surface.
+FEATURES = (
+    ("query", "supported", "read and write pipelines", "language"),
+    ("paths", "supported", "modes, quantifiers and selectors on single edges", "language"),
+    ("subpath_patterns", "unsupported", "grouped and alternating parts of a path", "language"),
+    ("set_operations", "supported", "with duplicates and without", "language"),
+    ("merge", "unsupported", "rejected with 42N01", "language"),
+    ("schema", "supported", "graph types of nodes and edges; one catalog", "language"),
+    ("transactions", "supported", "first committer wins", "language"),
+    ("algorithms", "supported", "over named projections", "procedures"),
+    ("vectors", "supported", "exact searches, under the names of approximate ones too", "procedures"),
+    ("text", "supported", "BM25", "procedures"),
+    ("json", "supported", "containment, paths and patches", "procedures"),
+)
+FEATURE_COLUMNS = "feature_id string, status string, rationale string, feature_name string, surface string, profile_relation string, claim_state string, evidence_status string, evidence_count long, profile_hash string"
+
+
+@procedure("feature_status", "", ", ".join(c.split()[0] for c in FEATURE_COLUMNS.split(", ")))
 def feature_status(g: PropertyGraph) -> DataFrame:
-    known = [("query language", "supported", "read and write"), ("paths", "supported", "modes and selectors"), ("vectors", "supported", "exact"), ("text", "supported", "BM25"), ("json", "supported", "containment, paths, patches"), ("merge", "unsupported", "rejected with 42N01")]
-    return rows(g, known, "feature string, status string, note string")
+    """No conformance is claimed and no evidence registered; the hash is that of this table."""
+    digest = hashlib.sha256(repr(FEATURES).encode()).hexdigest()
+    known = [(f, status, why, f.replace("_", " "), surface, "extension" if surface == "procedures" else "direct", "unclaimed", "absent", 0, digest) for f, status, why, surface in FEATURES]
+    return rows(g, known, FEATURE_COLUMNS)
 
 
 @procedure("verify", "", "check, label, violations")
@@ -203,34 +223,84 @@ def index_procedures() -> None:
                 raise GqlError(f"there is no {kind} on {label}.{prop}", "42002")
             return nothing(g)
 
-        def stats(g: PropertyGraph, kind: str = kind) -> DataFrame:
-            found = [(label, prop, R.of_label(g, label, prop).count()) for k, label, prop in registry_of(g, "indexes") if k == kind]
-            return rows(g, found, "label string, property string, entries long")
-
         procedure(f"create_{kind}", args, "", True)(create)
         procedure(f"drop_{kind}", "label, property", "", True)(drop)
-        procedure(f"{'property_index' if kind == 'index' else kind}_stats", "", "label, property, entries")(stats)
 
 
 index_procedures()
 
 
+def entries(g: PropertyGraph, kind: str) -> list[tuple]:
+    """Of each index its name, label, property, the other arguments that made it, and the number of rows with a value."""
+    place = {"index": None, "vector_index": 2, "text_index": 0}[kind]
+    found = []
+    for k, label, prop in sorted(registry_of(g, "indexes")):
+        if k == kind:
+            rest = registry_of(g, "indexes")[k, label, prop]
+            name = rest[place] if place is not None and len(rest) > place and rest[place] else rest[0] if kind == "index" and rest else f"{label}_{prop}"
+            found.append((name, label, prop, rest, R.of_label(g, label, prop).count()))
+    return found
+
+
+@procedure("property_index_stats", "", "name, entity, label, properties, kind, indexed_rows, drifted_rows, answers_probes")
+def property_index_stats(g: PropertyGraph) -> DataFrame:
+    """Rows of another type than the property's cannot be: drifted_rows is 0."""
+    found = [(name, "node", label, prop, "range", n, 0, True) for name, label, prop, _, n in entries(g, "index")]
+    return rows(g, found, "name string, entity string, label string, properties string, kind string, indexed_rows long, drifted_rows long, answers_probes boolean")
+
+
+@procedure("vector_index_stats", "", "name, label, property, kind, dimension, indexed_rows")
+def vector_index_stats(g: PropertyGraph) -> DataFrame:
+    """What other engines say of their layout's bytes and links is not there: vectors lie in the node table."""
+    found = [(name, label, prop, "exact", int(rest[0]) if rest and rest[0] is not None else None, n) for name, label, prop, rest, n in entries(g, "vector_index")]
+    return rows(g, found, "name string, label string, property string, kind string, dimension long, indexed_rows long")
+
+
+@procedure("text_index_stats", "", "name, label, property, indexed_rows, documents, distinct_terms, postings, total_document_len")
+def text_index_stats(g: PropertyGraph) -> DataFrame:
+    found = []
+    for name, label, prop, _, n in entries(g, "text_index"):
+        words = R.of_label(g, label, prop).select("id", R.tokens(F.col("value").cast("string")).alias("words"))
+        size = words.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("total")).first()
+        terms = words.select("id", F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+        count = terms.agg(F.count("*").alias("terms"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings")).first()
+        found.append((name, label, prop, n, size.documents, count.terms, count.postings, size.total))
+    return rows(g, found, "name string, label string, property string, indexed_rows long, documents long, distinct_terms long, postings long, total_document_len long")
+
+
 def rebuilt(g: PropertyGraph, most: int | None = None) -> DataFrame:
-    found = [(label, prop) for k, label, prop in registry_of(g, "indexes") if k == "vector_index"][:most]
-    return rows(g, found, "label string, property string")
+    """Exact searches read the node table, so a rebuilt index holds what it held."""
+    found = [(name, label, prop, "exact", int(rest[0]) if rest and rest[0] is not None else None, n, n) for name, label, prop, rest, n in entries(g, "vector_index")][:most]
+    return rows(g, found, "name string, label string, property string, kind string, dimension long, before_indexed_rows long, after_indexed_rows long")
+
+
+REBUILT = "name, label, property, kind, dimension, before_indexed_rows, after_indexed_rows"
+procedure("rebuild_vector_indexes", "max_indexes?", REBUILT, True)(rebuilt)
+procedure("rebuild_recommended_vector_indexes", "max_indexes?", REBUILT, True)(rebuilt)
+
+ROOM = ("allocated_nodes", "live_nodes", "reclaimable_nodes", "allocated_edges", "live_edges", "reclaimable_edges", "allocated_rows", "live_rows", "reclaimable_rows", "reclaimable_row_basis_points")
 
 
-procedure("rebuild_vector_indexes", "max_indexes?", "label, property", True)(rebuilt)
-procedure("rebuild_recommended_vector_indexes", "max_indexes?", "label, property", True)(rebuilt)
+def room(g: PropertyGraph) -> list:
+    """Tables hold live rows alone, as a change writes what stays."""
+    nodes, edges = sum(t.df.count() for t in g.nodes), sum(t.df.count() for t in g.edges)
+    return [nodes, nodes, 0, edges, edges, 0, nodes + edges, nodes + edges, 0, 0, False, True]
 
 
-def files(g: PropertyGraph) -> DataFrame:
-    found = [("node", "|".join(sorted(t.labels)), len(t.df.inputFiles())) for t in g.nodes] + [("edge", t.label, len(t.df.inputFiles())) for t in g.edges]
-    return rows(g, found, "kind string, label string, files long")
+def room_columns(prefix: str = "") -> str:
+    return ", ".join([f"{prefix}{c} long" for c in ROOM] + [f"{prefix}compaction_recommended boolean", f"{prefix}dense boolean"])
 
 
-procedure("compaction_stats", "", "kind, label, files")(files)
-procedure("compact", "", "kind, label, files", True)(files)
+@procedure("compaction_stats", "", ", ".join((*ROOM, "compaction_recommended", "dense")))
+def compaction_stats(g: PropertyGraph) -> DataFrame:
+    return rows(g, [tuple(room(g))], room_columns())
+
+
+@procedure("compact", "", "before_*, reclaimed_nodes, reclaimed_edges, after_*", True)
+def compact(g: PropertyGraph) -> DataFrame:
+    """There is nothing to reclaim."""
+    now = room(g)
+    return rows(g, [(*now, 0, 0, *now)], f"{room_columns('before_')}, reclaimed_nodes long, reclaimed_edges long, {room_columns('after_')}")
 
 
 # vectors
@@ -285,10 +355,14 @@ each("vector_score_candidate_state_expanded", "state, roots, edge_label, k, op?,
 del ALL["vector_score_candidate_state_batch"]  # not part of the contract
 
 
-@procedure("vector_candidate_states", "", "name, label, required, excluded, members")
+SIDES = ("require_outgoing", "require_incoming", "exclude_outgoing", "exclude_incoming")
+
+
+@procedure("vector_candidate_states", "", ", ".join(("state_name", "generation", "candidate_count", "required_label", *SIDES)))
 def candidate_states(g: PropertyGraph) -> DataFrame:
-    found = [(n, s.get("label"), list(s.get("required", [])), list(s.get("excluded", [])), R.state(g, n).count()) for n, s in sorted(registry_of(g, "states").items())]
-    return rows(g, found, "name string, label string, required array<string>, excluded array<string>, members long")
+    """A state is a function of the graph, never out of date; its generation is 0."""
+    found = [(n, 0, R.state(g, n).count(), s.get("label"), *(list(s.get(side, [])) for side in SIDES)) for n, s in sorted(registry_of(g, "states").items())]
+    return rows(g, found, "state_name string, generation long, candidate_count long, required_label string, " + ", ".join(f"{side} array<string>" for side in SIDES))
 
 
 procedure("reachable_nodes", "roots, edge_label, k, max_depth?, direction?", "node_id, depth")(R.reachable)

@@ -99,16 +99,17 @@ def neighbours(graph: PropertyGraph, roots: DataFrame, edge_label: str | None, d
 
 
 def state(graph: PropertyGraph, name: str) -> DataFrame:
-    """Members of a candidate state: nodes of its label with an edge of each required label and none of an excluded one."""
+    """Members of a candidate state: nodes of its label with an edge of each required label that way, and none of an excluded one. Undirected edges go both ways."""
     try:
         s = graph.extra["states"][name]
     except KeyError:
         raise GqlError(f"there is no candidate state {name}", "42002") from None
     df = graph.scan_nodes(("label", s["label"]) if s.get("label") else None, set()).select("id")
-    for kind, labels in (("left_semi", s.get("required", [])), ("left_anti", s.get("excluded", []))):
-        for label in labels:
-            touched = graph.scan_edges(("label", label), set()).select(F.explode(F.array("`#src`", "`#dst`")).alias("id"))
-            df = df.join(touched, "id", kind)
+    for kind, word in (("left_semi", "require"), ("left_anti", "exclude")):
+        for side, way in (("outgoing", "R"), ("incoming", "L")):
+            for label in s.get(f"{word}_{side}", []):
+                touched = graph.ways(("label", label), frozenset({way, "U"}), set()).select(F.col("#from").alias("id"))
+                df = df.join(touched, "id", kind)
     return df
 
 

@@ -482,7 +482,7 @@ def asked(procedure: str, label: str, key: str, more: str = "") -> Callable[[Pro
     first = "query_index, " if "_batch" in procedure else ""
 
     def run(g: PropertyGraph, s: Session) -> DataFrame:
-        g.extra["states"] = {"alike": {"label": "Embedding", "required": ["ALIKE"]}, "after": {"label": "Document", "required": ["AFTER"]}}
+        g.extra["states"] = {"alike": {"label": "Embedding", "require_outgoing": ["ALIKE"]}, "after": {"label": "Document", "require_incoming": ["AFTER"]}}
         text = f"CALL db.{procedure} YIELD {first}node_id, {field} MATCH (node_id) RETURN {first}node_id.{key} AS id, {field}"
         return s.execute(text, {"q": VECTOR, "qs": [VECTOR, VECTOR[::-1]], "n": [OFFSET[label] + i for i in CANDIDATES], "one": OFFSET[label] + ANCHOR, "w": "the with", "ws": ["the with", "and"]})
 
@@ -538,7 +538,18 @@ TEXTS_OF = {
     "text_batch": "text_score_nodes_batch('Document', 'text', $ws, $n, 4)",
 }
 
-BUILT = {"typed_graph": typed_graph, "set_map_and_delete_edges": more_changes, "durable_store": stored}
+def index_statistics(g: PropertyGraph, s: Session) -> DataFrame:
+    """What text and vector indexes and candidate states count."""
+    g.extra["states"] = {"alike": {"label": "Embedding", "require_outgoing": ["ALIKE"], "exclude_incoming": ["ALIKE"]}}
+    s.execute("CALL db.create_text_index('Document', 'text')")
+    s.execute("CALL db.create_vector_index('Embedding', 'embedding', 64)")
+    text = s.execute("CALL db.text_index_stats() YIELD documents, distinct_terms, postings, total_document_len RETURN 'text' AS kind, documents AS a, distinct_terms AS b, postings AS c, total_document_len AS d")
+    vector = s.execute("CALL db.vector_index_stats() YIELD dimension, indexed_rows RETURN 'vector' AS kind, indexed_rows AS a, dimension AS b, 0 AS c, 0 AS d")
+    states = s.execute("CALL db.vector_candidate_states() YIELD generation, candidate_count RETURN 'state' AS kind, candidate_count AS a, generation AS b, 0 AS c, 0 AS d")
+    return text.union(vector).union(states)
+
+
+BUILT = {"index_statistics": index_statistics, "typed_graph": typed_graph, "set_map_and_delete_edges": more_changes, "durable_store": stored}
 BUILT |= {k: asked(v, "Embedding", "vec_id") for k, v in VECTORS_OF.items()} | {k: asked(v, "Document", "doc_id") for k, v in TEXTS_OF.items()}
 BUILT |= {"dijkstra": dijkstra, "insert_set_delete": changes, "vector_batch": vector_batch, "vector_candidates": vector_candidates, "text_candidates": text_candidates, "verify": health}
 
@@ -554,7 +565,7 @@ SQL["vector_batch"] = " UNION ALL ".join(
 )
 SQL["vector_candidates"] = f"SELECT vec_id AS id, round(d, 4) AS distance FROM (SELECT vec_id, list_cosine_distance(CAST(embedding AS DOUBLE[]), {VECTOR_SQL}) AS d FROM embeddings WHERE vec_id IN {CANDIDATES}) ORDER BY d, vec_id LIMIT 5"
 SQL["text_candidates"] = SQL["text_bm25"].replace("('the', 'and', 'of')", "('the', 'with')").replace("GROUP BY 1\n           ORDER", f"WHERE doc_id IN {CANDIDATES} GROUP BY 1\n           ORDER").replace("LIMIT 20", "LIMIT 10")
-ALIKE = "WITH ed AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 AND x.label = y.label), st AS (SELECT a AS id FROM ed UNION SELECT b FROM ed), around AS (SELECT b AS id FROM ed WHERE a IN {n} UNION SELECT a FROM ed WHERE b IN {n} UNION SELECT vec_id FROM embeddings WHERE vec_id IN {n}), far AS (SELECT vec_id AS id, pow(list_distance(CAST(embedding AS DOUBLE[]), {q}), 2) AS d FROM embeddings)"
+ALIKE = "WITH ed AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 AND x.label = y.label), st AS (SELECT a AS id FROM ed), around AS (SELECT b AS id FROM ed WHERE a IN {n} UNION SELECT a FROM ed WHERE b IN {n} UNION SELECT vec_id FROM embeddings WHERE vec_id IN {n}), far AS (SELECT vec_id AS id, pow(list_distance(CAST(embedding AS DOUBLE[]), {q}), 2) AS d FROM embeddings)"
 ALIKE = ALIKE.replace("{q}", VECTOR_SQL)
 TOP = " SELECT id, round(d, 4) AS distance FROM far WHERE {} ORDER BY d, id LIMIT {}"
 listed, lone = str(CANDIDATES), f"({ANCHOR})"
@@ -569,7 +580,7 @@ SQL["vector_state_expanded_ann"] = ALIKE.replace("{n}", listed) + TOP.format(f"i
 BATCH = "(SELECT CAST({i} AS BIGINT) AS query_index, vec_id AS id, round(d, 4) AS distance FROM (SELECT vec_id, pow(list_distance(CAST(embedding AS DOUBLE[]), CAST({v} AS DOUBLE[])), 2) AS d FROM embeddings{w}) ORDER BY d, vec_id LIMIT {k})"
 for name, where, most in (("vector_score_batch", f" WHERE vec_id IN {listed}", 3), ("vector_ann_batch", "", 5)):
     SQL[name] = " UNION ALL ".join(BATCH.format(i=i, v=v, w=where, k=most) for i, v in enumerate((VECTOR, VECTOR[::-1])))
-ALIKE_TEXT = "doc_id IN (SELECT unnest([x.doc_id, y.doc_id]) FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1 AND x.lang = y.lang)"
+ALIKE_TEXT = "doc_id IN (SELECT y.doc_id FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1 AND x.lang = y.lang)"
 
 
 def bm25_sql(terms: str, where: str, most: int) -> str:
@@ -579,6 +590,11 @@ def bm25_sql(terms: str, where: str, most: int) -> str:
 SQL["text_state"] = bm25_sql("('the', 'with')", ALIKE_TEXT, 8)
 SQL["text_state_nodes"] = bm25_sql("('the', 'with')", f"{ALIKE_TEXT} AND doc_id NOT IN {listed}", 8)
 SQL["text_batch"] = " UNION ALL ".join(f"(SELECT CAST({i} AS BIGINT) AS query_index, * FROM ({bm25_sql(w, f'doc_id IN {listed}', 4)}))" for i, w in enumerate(("('the', 'with')", "('and')")))
+SQL["index_statistics"] = """
+    WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), t AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM w),
+    ed AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 AND x.label = y.label)
+    SELECT 'text' AS kind, (SELECT count(*) FROM w) AS a, (SELECT count(DISTINCT term) FROM t) AS b, (SELECT count(*) FROM t) AS c, (SELECT CAST(sum(len(w)) AS BIGINT) FROM w) AS d
+    UNION ALL SELECT 'vector', (SELECT count(*) FROM embeddings), 64, 0, 0 UNION ALL SELECT 'state', (SELECT count(*) FROM ed WHERE a NOT IN (SELECT b FROM ed)), 0, 0, 0"""
 SQL["typed_graph"] = "SELECT * FROM (VALUES ('a', '1', CAST(NULL AS BIGINT)), ('b', '2', NULL), ('e', NULL, 5)) t(name, code, size)"
 SQL["set_map_and_delete_edges"] = """
     SELECT n_nationkey AS k, CASE WHEN n_regionkey = 2 THEN 'M' ELSE n_name END AS name, CASE WHEN n_regionkey = 2 THEN CAST(n_nationkey * 2 AS BIGINT) END AS extra,

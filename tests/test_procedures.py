@@ -183,7 +183,7 @@ def library(spark):
     words = "graph join spark query table node edge path".split()
     nodes = [{"id": i, "labels": ["Doc"], "text": " ".join(random.choices(words, k=random.randint(3, 12))), "v": [random.random(), random.random(), 0.1], "j": f'{{"k": {i % 3}, "l": [{i}, {{"m": {i % 2}}}]}}', "kind": f"k{i % 2}"} for i in range(1, 21)]
     g = PropertyGraph.of_rows(spark, nodes, [{"id": 100 + i, "label": "CITES", "src": i, "dst": i + 1} for i in range(1, 20)])
-    g.extra["states"] = {"citing": {"label": "Doc", "required": ["CITES"]}}
+    g.extra["states"] = {"citing": {"label": "Doc", "require_outgoing": ["CITES"], "exclude_incoming": ["NOPE"]}, "cited": {"label": "Doc", "require_incoming": ["CITES"], "exclude_outgoing": ["CITES"]}}
     return Session.over(g), nodes
 
 
@@ -200,8 +200,8 @@ def test_vector_procedures(library):
     assert ids(call(s, "db.vector_search_nodes_batch('Doc', 'v', $q, 2, 'l2')", q=[q, q]), 1) == order[:2] * 2
     around = {x for i in order[:2] for x in (i, i + 1)} & set(dist)
     assert ids(call(s, "db.vector_search_expanded_candidates_ann('Doc', 'v', $q, 2, 'CITES', 9, 'outgoing', 'l2')", q=q)) == [i for i in order if i in around]
-    assert ids(call(s, "db.vector_score_candidate_state('v', $q, 'citing', 50, 'l2')", q=q)) == order
-    assert call(s, "db.vector_candidate_states()") == [("citing", "Doc", ["CITES"], [], 20)]
+    assert ids(call(s, "db.vector_score_candidate_state('v', $q, 'citing', 50, 'l2')", q=q)) == [i for i in order if i < 20]
+    assert call(s, "db.vector_candidate_states()") == [("cited", 0, 1, "Doc", [], ["CITES"], ["CITES"], []), ("citing", 0, 19, "Doc", ["CITES"], [], [], ["NOPE"])]
     with pytest.raises(Exception):  # noqa: B017
         call(s, "db.vector_search_nodes('Doc', 'v', $q, 5, 'cosine')", q=[0.0, 0.0, 0.0])
     with pytest.raises(GqlError):
@@ -229,7 +229,7 @@ def test_text_procedures(library):
 
 
 def test_json_graph_and_fusion_procedures(library):
-    s, _ = library
+    s, nodes = library
     assert call(s, "db.json_contains_nodes('Doc', 'j', '{\"k\": 1}', 3)") == [(1,), (4,), (7,)]
     assert call(s, "db.json_path_contains_nodes('Doc', 'j', '[\"l\", 1]', '{\"m\": 0}', 2)") == [(2,), (4,)]
     assert call(s, "db.json_path_value_candidate_nodes('Doc', 'j', '$.l[0]', [9, 8], 5)") == [(8, "8"), (9, "9")]
@@ -238,7 +238,16 @@ def test_json_graph_and_fusion_procedures(library):
     got = call(s, "db.reciprocal_rank_fusion([[1, 2], [2, 3, 2]], 3, 60.0, [1.0, 2.0])")
     assert [i for i, _ in got] == [2, 3, 1] and abs(got[0][1] - (1 / 62 + 2 / 61)) < 1e-12
     s.execute("CALL db.create_vector_index('Doc', 'v', 3)")
-    assert call(s, "db.vector_index_stats()") == [("Doc", "v", 20)]
+    assert call(s, "db.vector_index_stats()") == [("Doc_v", "Doc", "v", "exact", 3, 20)]
+    assert call(s, "db.rebuild_vector_indexes(1)") == [("Doc_v", "Doc", "v", "exact", 3, 20, 20)]
+    s.execute("CALL db.create_index('Doc', 'kind', 'by_kind')")
+    assert call(s, "db.property_index_stats()") == [("by_kind", "node", "Doc", "kind", "range", 20, 0, True)]
+    s.execute("CALL db.create_text_index('Doc', 'text', 'words')")
+    ((name, _, _, n, documents, terms, postings, length),) = call(s, "db.text_index_stats()")
+    texts = [n["text"].split() for n in nodes]
+    assert (name, n, documents, terms, postings, length) == ("words", 20, 20, len(set(sum(texts, []))), sum(len(set(w)) for w in texts), sum(map(len, texts)))
+    assert call(s, "db.compaction_stats()")[0][:4] == (20, 20, 0, 19) and len(call(s, "db.compact()")[0]) == 26
+    assert len(call(s, "db.feature_status()")[0]) == 10
     assert call(s, "db.health()") == [("main", 20, 19, False)]
     s.execute("CALL db.drop_vector_index('Doc', 'v')")
     assert call(s, "db.vector_index_stats()") == []
