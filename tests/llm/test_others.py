@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.ann import PolytopeIndex, nearest, transform
 from skein.llm.chat import rotate_perspectives
-from skein.llm.packing import PieceIds, least_squares, pack_documents, plan, slots
+from skein.llm.packing import PieceIds, combinations, least_squares, pack_documents, plan, slots
 from skein.llm.url_filters import RULES, judge_urls
 from skein.llm.vocabulary import library_tokenizer, vocabulary_path
 
@@ -36,6 +36,23 @@ def test_least_squares_finds_exact_repeats():
     assert np.allclose(x, [5, 2, 0], atol=0.1)
 
 
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_least_squares_reach_the_optimum(scale):
+    """Karush-Kuhn-Tucker: no column can gain by growing, and those in use cannot by shrinking, but for less than an occurrence."""
+    rng = np.random.default_rng(4)
+    counts = np.zeros(257)
+    counts[1:256] = rng.poisson(4 * np.exp(-np.arange(1, 256) / 90)) * scale
+    columns = combinations(np.flatnonzero(counts).tolist(), 256)
+    x = least_squares(columns, counts)
+    rest = -counts
+    for c, times in zip(columns, x, strict=True):
+        for a in c:
+            rest[a] += times
+    slope = np.array([sum(rest[a] for a in c) for c in columns])
+    assert len(columns) > 1000 and (x >= 0).all()
+    assert slope.min() > -1.5 and np.abs(slope[x > 0]).max() < 1.5
+
+
 def test_plan_uses_every_length_up():
     random.seed(1)
     counts = {random.randint(1, 64): random.randint(1, 50) for _ in range(40)}
@@ -159,6 +176,49 @@ def test_neighbours_recall_and_ties(spark, axes):
     assert nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("axes", [1, 2])
+def test_neighbours_of_few_vectors_are_all_found(spark, axes):
+    """Tables smaller than k, outliers far from one tight group, and lone dimensions: nobody comes back short."""
+    rng = np.random.default_rng(5)
+    tight = rng.normal(size=64) + 0.001 * rng.normal(size=(300, 64))
+    rows = [(1000 + i, x.tolist()) for i, x in enumerate(tight)] + [(50 * i, rng.normal(size=64).tolist()) for i in range(1, 4)] + [(50 * i, rng.normal(size=8).tolist()) for i in range(6, 10)]
+    rows += [(950, rng.normal(size=3).tolist())]
+    got = defaultdict(list)
+    index = PolytopeIndex(tables=2, probes=2, axes=axes)
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5, index).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    vectors = dict(rows)
+    for q in (50, 100, 150, 300, 350, 400, 450):
+        others = {i: np.dot(vectors[q], x) / np.linalg.norm(vectors[q]) / np.linalg.norm(x) for i, x in rows if i != q and len(x) == len(vectors[q])}
+        assert len(got[q]) == min(5, len(others))
+        if q >= 300:
+            assert got[q] == sorted(others, key=lambda i: (-others[i], i))[:5]
+    assert 950 not in got and len(nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect()) == 1
+
+
+def test_large_tables_take_finer_buckets():
+    assert PolytopeIndex().for_size(999_999) == PolytopeIndex()
+    assert (PolytopeIndex().for_size(1_000_000).axes, PolytopeIndex().for_size(1_000_000).probes) == (2, 512)
+
+
+@pytest.mark.parametrize(("index", "least"), [(PolytopeIndex(), 0.98), (PolytopeIndex(large=1), 0.9)])
+def test_neighbours_recall_on_a_table(spark, index, least):
+    """Both settings against brute force on the given vectors; that of large tables finds more as neighbours come closer."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    table = rows.select("vec_id", "embedding").toPandas()
+    ids, x = table.vec_id.to_numpy(), np.stack(table.embedding.to_numpy()).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = defaultdict(set)
+    for r in nearest(rows, F.col("vec_id") % 50 == 0, 5, index).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        cos = x @ x[i]
+        cos[i] = -2
+        hits += len(got[ids[i]] & set(ids[np.argsort(-cos)[:5]].tolist()))
+    assert hits >= least * 5 * (ids % 50 == 0).sum()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
