@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +35,28 @@ def of_application(spark: SparkSession, folder: str) -> str:
     return path
 
 
+#: Whether the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go with its end, not when the driver happens to collect its garbage."""
+    if not spark.conf.isModifiable(CLEANUP):  # another version
+        yield
+        return
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again, without lineage and with true sizes."""
     spark = df.sparkSession
     path = f"{of_application(spark, shared_folder(spark))}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
