@@ -379,7 +379,8 @@ def remove_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules(), keep: tu
     asked = bare.join(again.hint("shuffle_hash"), "key").select("key", "__text", "wanted")
     runs = runs_of(asked, rules, 1 + n // rules.partition_entries)
     spans = repeats(runs.repartition("part").sortWithinPartitions("part", "run", "nth"), rules)
-    spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    # written, so that what was shuffled to find the spans is gone before the texts are shuffled again
+    spans = written(spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
     out = keyed.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", *(f"__keep_{c}" for c in keep), "__text", "spans")
     width = 1 + len(keep)
     last = "kept_sha256" if digests else "text"
