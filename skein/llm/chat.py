@@ -34,9 +34,10 @@ def rotate_perspectives(messages: DataFrame, context_roles: tuple[str, ...] = ("
     one. A conversation that only has context roles has no rendering. Columns
     other than the four play no part, whatever their names.
 
-    Scale: places are prefix sums in two levels (blocks of 64 turns, then
-    inside a block), so a conversation with a third of all rows is spread over
-    tasks; the join of messages and participants can be split when skewed.
+    Scale: places are prefix sums in two levels (blocks of 64 turns, or of equal
+    speakers and beginnings where there is no turn, then inside a block), so a
+    conversation with a third of all rows is spread over tasks; the join of
+    messages and participants can be split when skewed.
     """
     said = messages.select(
         F.col(conversation).alias("conv_id"),
@@ -46,6 +47,9 @@ def rotate_perspectives(messages: DataFrame, context_roles: tuple[str, ...] = ("
     ).distinct()
     people = said.filter(~F.col("speaker").isin(*context_roles)).select(F.col("conv_id").alias("p_conv"), F.col("speaker").alias("participant")).distinct()
     own = F.col("speaker") == F.col("participant")
+    # messages without a turn come last, in blocks of those that begin alike
+    lone = F.col("turn").isNull()
+    block = F.struct(F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit((1 << 63) - 1)).alias("turns"), F.when(lone, F.col("speaker")).otherwise("").alias("by"), F.when(lone, F.substring("content", 1, 8)).otherwise("").alias("start"))
     context = F.col("speaker").isin(*context_roles)
     head = F.when(own, F.lit(f"{OPEN}assistant\n")).when(context, F.concat(F.lit(OPEN), "speaker", F.lit("\n"))).otherwise(F.concat(F.lit(f"{OPEN}user name="), "speaker", F.lit("\n")))
     shown = (
@@ -53,7 +57,7 @@ def rotate_perspectives(messages: DataFrame, context_roles: tuple[str, ...] = ("
         .withColumn("head", F.length(head))
         .withColumn("rendered", F.concat(head, "content", F.lit(f"{CLOSE}\n")))
         .withColumn("size", F.length("rendered").cast("long"))
-        .withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit((1 << 63) - 1)))
+        .withColumn("block", block)
     )
     keys = ["conv_id", "participant"]
     before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

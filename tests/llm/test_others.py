@@ -146,6 +146,23 @@ def test_rotation_spans_and_ties(spark):
     assert rotate_perspectives(df.limit(0)).count() == 0
 
 
+def test_rotation_of_many_speakers_and_lone_turns(spark):
+    """Three speakers and more, a hundred messages without a turn, long and empty texts: every rendering in full, in the order stated."""
+    rng = random.Random(2)
+    said = [(1, None if rng.random() < 0.6 else rng.randrange(200), rng.choice(["ann", "bob", "cy", "di", None, "system"]), rng.choice(["", None, "é" * 5000, f"text {rng.randrange(500)}", f"t{rng.randrange(500)}"])) for _ in range(250)]
+    rows = rotate_perspectives(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()
+    messages = sorted({(r[1] is None, r[1] or 0, r[2] or "unknown", r[3] or "") for r in said}, key=lambda m: (m[0], m[1], m[2].encode(), m[3].encode()))
+    got = defaultdict(list)
+    for r in rows:
+        got[r.participant].append(r)
+    assert set(got) == {"ann", "bob", "cy", "di", "unknown"}
+    for who, parts in got.items():
+        parts.sort(key=lambda r: r.position)
+        head = lambda s: "assistant" if s == who else "system" if s == "system" else f"user name={s}"  # noqa: B023, E731
+        assert [r.rendered for r in parts] == [f"<|im_start|>{head(s)}\n{x}<|im_end|>\n" for _, _, s, x in messages]
+        assert [r.start for r in parts] == [sum(len(q.rendered) for q in parts[:i]) for i in range(len(parts))]
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(transform(x), axis=1), np.linalg.norm(x, axis=1))
