@@ -8,30 +8,31 @@ from pyspark.sql import functions as F
 from skein.sources.durable import written
 
 
+def both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+
+
+def are_stars(pairs: DataFrame) -> bool:
+    """Whether each node hangs at one that is smaller than all of its neighbours: none has a smaller neighbour beside another one."""
+    near = both_ways(pairs).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return near.filter("m < u and n > 1").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (columns a, b: long) but the roots; a root is its component's smallest node.
 
     Loops, null ends and repeated edges are ignored; without edges the result
     is empty. Each round connects a node's larger neighbours to its smallest
-    one, then all of a node's smaller neighbours to the smallest, until nothing
-    changes; the number of rounds grows with the logarithm of the size. The
-    driver sees a count and a checksum for each round.
+    one, then all of a node's smaller neighbours to the smallest, until stars
+    are left; the number of rounds grows with the logarithm of the size. The
+    driver sees one bit for each round.
     """
     pairs = written(edges.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), name)
-
-    def sign(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
-
-    before = sign(pairs)
-    while before[0]:
-        both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+    while not are_stars(pairs):
+        both = both_ways(pairs)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").filter("m <> v").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(lowest, "hi").select(F.explode(F.array(F.struct(F.col("m").alias("lo"), "hi"), F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")))).alias("e"))
         pairs = written(small.select("e.lo", "e.hi").filter("lo <> hi").distinct(), name)
-        after = sign(pairs)
-        if after == before:
-            break
-        before = after
     return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
