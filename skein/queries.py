@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.plans.parser import GqlError
-from skein.session import Session
+from skein.session import Entry, Session
 from skein.sources.durable import shared_folder
 from skein.sources.graph import PropertyGraph
 from skein.sources.store import load, save
@@ -366,6 +366,26 @@ PAIRS: dict[str, tuple[str, str]] = {
         "CALL db.json_path_contains_nodes('Event', 'props', '$.k', '87', 30) YIELD node_id MATCH (node_id) RETURN node_id.event_id AS id",
         "SELECT event_id AS id FROM events WHERE json_extract_string(props, '$.k') = '87' ORDER BY event_id LIMIT 30",
     ),
+    "limit_scope": (
+        "MATCH (n:Nation) RETURN n.n_name AS x UNION ALL MATCH (r:Region) RETURN r.r_name AS x ORDER BY x LIMIT 2",
+        "SELECT n_name AS x FROM nation UNION ALL (SELECT r_name AS x FROM region ORDER BY x LIMIT 2)",
+    ),
+    "path_open_trail": (
+        "MATCH TRAIL p = (a:Region {r_regionkey: 2})-[:IN_REGION]-+(b) RETURN PATH_LENGTH(p) AS l, COUNT(*) AS n",
+        "SELECT CAST(1 AS BIGINT) AS l, count(*) AS n FROM nation WHERE n_regionkey = 2",
+    ),
+    "path_open_shortest": (
+        "MATCH ALL SHORTEST p = (a:Customer {c_custkey: 1})-[:FOLLOWED]->+(b:Customer) RETURN b.c_custkey AS b, PATH_LENGTH(p) AS l, COUNT(*) AS n",
+        "WITH RECURSIVE fo AS (SELECT x.o_custkey AS a, y.o_custkey AS b, count(*) AS m FROM orders x JOIN orders y ON y.o_orderkey = x.o_orderkey + 1 WHERE x.o_orderpriority = '1-URGENT' GROUP BY 1, 2), w AS (SELECT b, 1 AS l FROM fo WHERE a = 1 UNION SELECT fo.b, l + 1 FROM w JOIN fo ON fo.a = w.b WHERE l < 25), d AS (SELECT b, min(l) AS l FROM w GROUP BY 1), p AS (SELECT d.b, d.l, m AS n FROM d JOIN fo ON fo.a = 1 AND fo.b = d.b WHERE d.l = 1 UNION ALL SELECT d.b, d.l, p.n * m FROM p JOIN fo ON fo.a = p.b JOIN d ON d.b = fo.b AND d.l = p.l + 1) SELECT b, CAST(l AS BIGINT) AS l, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY 1, 2",
+    ),
+    "tie_order": (
+        "MATCH SHORTEST 1 p = (a:Supplier {s_suppkey: 1})-[:SUPPLIED]-{2,2}(b:Supplier) RETURN b.s_suppkey AS b, ELEMENTS(p) AS e",
+        f"WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), q AS (SELECT y.l_suppkey AS b, min(x.l_partkey) AS p FROM s x JOIN s y ON x.l_partkey = y.l_partkey WHERE x.l_suppkey = 1 GROUP BY 1) SELECT b, [{OFFSET['Supplier']} + 1, {(100 + 5) << 50} + 1 * 16777216 + p, {OFFSET['Part']} + p, {(100 + 5) << 50} + b * 16777216 + p, {OFFSET['Supplier']} + b] AS e FROM q",
+    ),
+    "health_counts": (
+        "CALL db.health() YIELD node_count, edge_count, schema_bound RETURN node_count, edge_count, schema_bound",
+        "SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM events) + (SELECT count(*) FROM documents) + (SELECT count(*) FROM embeddings) + (SELECT count(DISTINCT user_id) FROM events) AS node_count, (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) + (SELECT count(*) - count(DISTINCT user_id) FROM events) + (SELECT count(*) FROM orders x JOIN orders y ON y.o_orderkey = x.o_orderkey + 1 WHERE x.o_orderpriority = '1-URGENT') + (SELECT count(*) FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 AND x.label = y.label) + (SELECT count(*) FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1 AND x.lang = y.lang) AS edge_count, false AS schema_bound",
+    ),
     "explain": ("EXPLAIN MATCH (n:Nation) RETURN n.n_name AS name", ""),
 }
 
@@ -510,6 +530,27 @@ def more_changes(g: PropertyGraph, s: Session) -> DataFrame:
     return s.execute("MATCH (n:Nation) OPTIONAL MATCH (n)-[:IN_REGION]->(r:Region) RETURN n.n_nationkey AS k, n.n_name AS name, n.extra AS extra, n IS LABELED :Marked AS marked, r.r_name AS region")
 
 
+def used_graph(g: PropertyGraph, s: Session) -> DataFrame:
+    """A query that goes on in another graph of the catalog."""
+    s.catalog.graphs["places"] = Entry(g.with_tables(nodes=g.node_tables(("label", "Nation")), edges=()))
+    return s.execute("USE places MATCH (n) RETURN n.n_name AS name, n.n_regionkey AS r")
+
+
+def projected(g: PropertyGraph, s: Session) -> DataFrame:
+    """Projections by name, and their sizes."""
+    s.execute(PLACES)
+    s.execute(FOLLOWERS.replace("'g'", "'f'"))
+    return s.execute("CALL algo.projection_list() YIELD name, node_count, edge_count RETURN name, node_count, edge_count")
+
+
+def json_candidates(g: PropertyGraph, s: Session) -> DataFrame:
+    """The JSON procedures over stated candidates."""
+    n = {"n": [OFFSET["Event"] + i for i in CANDIDATES]}
+    s1 = s.execute("CALL db.json_path_exists_candidate_nodes('Event', 'props', '$.k', $n, 9) YIELD node_id MATCH (node_id) RETURN 'exists' AS kind, node_id.event_id AS id", n)
+    s2 = s.execute("CALL db.json_contains_candidate_nodes('Event', 'props', '{}', $n, 9) YIELD node_id MATCH (node_id) RETURN 'contains' AS kind, node_id.event_id AS id", n)
+    return s1.union(s2)
+
+
 def stored(g: PropertyGraph, s: Session) -> DataFrame:
     """A graph saved and loaded again."""
     path = f"{shared_folder(g.spark)}/graph-{uuid.uuid4().hex}"
@@ -532,6 +573,9 @@ VECTORS_OF = {
     "vector_state_expanded_ann": "vector_search_candidate_state_expanded_ann('Embedding', 'embedding', $q, 12, 'ALIKE', 'alike', 6, 'intersection', 'both', 'l2')",
     "vector_ann_batch": "vector_search_nodes_ann_batch('Embedding', 'embedding', $qs, 5, 'l2')",
 }
+VECTORS_OF |= {
+    "vector_expanded_batch": "vector_score_expanded_candidates_batch('embedding', $qs, $n, 'ALIKE', 4, 'outgoing', 'l2')",
+}
 TEXTS_OF = {
     "text_state": "text_score_candidate_state('Document', 'text', $w, 'after', 8)",
     "text_state_nodes": "text_score_candidate_state_nodes('Document', 'text', $w, 'after', $n, 8, 'difference')",
@@ -549,7 +593,7 @@ def index_statistics(g: PropertyGraph, s: Session) -> DataFrame:
     return text.union(vector).union(states)
 
 
-BUILT = {"index_statistics": index_statistics, "typed_graph": typed_graph, "set_map_and_delete_edges": more_changes, "durable_store": stored}
+BUILT = {"use_graph": used_graph, "projection_list": projected, "json_candidate_nodes": json_candidates, "index_statistics": index_statistics, "typed_graph": typed_graph, "set_map_and_delete_edges": more_changes, "durable_store": stored}
 BUILT |= {k: asked(v, "Embedding", "vec_id") for k, v in VECTORS_OF.items()} | {k: asked(v, "Document", "doc_id") for k, v in TEXTS_OF.items()}
 BUILT |= {"dijkstra": dijkstra, "insert_set_delete": changes, "vector_batch": vector_batch, "vector_candidates": vector_candidates, "text_candidates": text_candidates, "verify": health}
 
@@ -580,6 +624,9 @@ SQL["vector_state_expanded_ann"] = ALIKE.replace("{n}", listed) + TOP.format(f"i
 BATCH = "(SELECT CAST({i} AS BIGINT) AS query_index, vec_id AS id, round(d, 4) AS distance FROM (SELECT vec_id, pow(list_distance(CAST(embedding AS DOUBLE[]), CAST({v} AS DOUBLE[])), 2) AS d FROM embeddings{w}) ORDER BY d, vec_id LIMIT {k})"
 for name, where, most in (("vector_score_batch", f" WHERE vec_id IN {listed}", 3), ("vector_ann_batch", "", 5)):
     SQL[name] = " UNION ALL ".join(BATCH.format(i=i, v=v, w=where, k=most) for i, v in enumerate((VECTOR, VECTOR[::-1])))
+SQL["vector_expanded_batch"] = "WITH ed AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 AND x.label = y.label)" + " UNION ALL ".join(
+    BATCH.format(i=i, v=v, w=f" WHERE vec_id IN {listed} OR vec_id IN (SELECT b FROM ed WHERE a IN {listed})", k=4) for i, v in enumerate((VECTOR, VECTOR[::-1]))
+)
 ALIKE_TEXT = "doc_id IN (SELECT y.doc_id FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1 AND x.lang = y.lang)"
 
 
@@ -590,6 +637,9 @@ def bm25_sql(terms: str, where: str, most: int) -> str:
 SQL["text_state"] = bm25_sql("('the', 'with')", ALIKE_TEXT, 8)
 SQL["text_state_nodes"] = bm25_sql("('the', 'with')", f"{ALIKE_TEXT} AND doc_id NOT IN {listed}", 8)
 SQL["text_batch"] = " UNION ALL ".join(f"(SELECT CAST({i} AS BIGINT) AS query_index, * FROM ({bm25_sql(w, f'doc_id IN {listed}', 4)}))" for i, w in enumerate(("('the', 'with')", "('and')")))
+SQL["use_graph"] = "SELECT n_name AS name, n_regionkey AS r FROM nation"
+SQL["projection_list"] = f"WITH {FOLLOWED} SELECT 'f' AS name, (SELECT count(*) FROM customer) AS node_count, (SELECT count(*) FROM fo) AS edge_count UNION ALL SELECT 'g', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + (SELECT count(*) FROM supplier), (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier)"
+SQL["json_candidate_nodes"] = f"(SELECT 'exists' AS kind, event_id AS id FROM events WHERE event_id IN {CANDIDATES} AND json_exists(props, '$.k') ORDER BY event_id LIMIT 9) UNION ALL (SELECT 'contains', event_id FROM events WHERE event_id IN {CANDIDATES} AND starts_with(props, '{{') ORDER BY event_id LIMIT 9)"
 SQL["index_statistics"] = """
     WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), t AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM w),
     ed AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 AND x.label = y.label)

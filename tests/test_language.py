@@ -11,13 +11,13 @@ from skein.session import Catalog, Entry, Session
 from skein.sources.graph import PropertyGraph
 
 NAMES = "abcdef"
-PEOPLE = [{"id": i, "labels": ["Person"], "name": NAMES[i - 1], "age": 19 + i, "tenant": f"t{2 - i % 2}"} for i in range(1, 7)]
-KNOWS = [(1, 2), (2, 3), (3, 1), (4, 5), (5, 6), (6, 4), (3, 4)]
+PEOPLE = [{"id": i, "labels": ["Sailor"], "name": NAMES[i - 1], "berth": 19 + i, "fleet": f"t{2 - i % 2}"} for i in range(1, 7)]
+SIGNALS = [(1, 2), (2, 3), (3, 1), (4, 5), (5, 6), (6, 4), (3, 4)]
 
 
 @pytest.fixture(scope="module")
 def graph(spark) -> PropertyGraph:
-    return PropertyGraph.of_rows(spark, PEOPLE, [{"id": 100 + k, "label": "KNOWS", "src": a, "dst": b, "w": float(k)} for k, (a, b) in enumerate(KNOWS)])
+    return PropertyGraph.of_rows(spark, PEOPLE, [{"id": 100 + k, "label": "SIGNALS", "src": a, "dst": b, "w": float(k)} for k, (a, b) in enumerate(SIGNALS)])
 
 
 @pytest.fixture(scope="module")
@@ -89,7 +89,7 @@ def test_domain_errors(graph, text):
 
 @pytest.mark.parametrize(
     "text",
-    ["MERGE (n:Person)", "MATCH (a)-[:KNOWS]->*(b) RETURN a", "MATCH (n", "RETURN nope AS x", "RETURN COUNT(DISTINCT *) AS n", "MATCH (n:Person) RETURN n.name AS x, COUNT(*) AS n GROUP BY n.age", "RETURN 1 AS a, 2 AS b UNION RETURN 1 AS a", "CALL db.nothing()", "MATCH (n:Person)", "RETURN BYTE_LENGTH('x') AS n", "RETURN SUM(COUNT(*)) AS x", "RETURN 1 AS x LIMIT -1", "MATCH (a)-[:KNOWS]->{2,1}(b) RETURN a"],
+    ["MERGE (n:Sailor)", "MATCH (a)-[:SIGNALS]->*(b) RETURN a", "MATCH (n", "RETURN nope AS x", "RETURN COUNT(DISTINCT *) AS n", "MATCH (n:Sailor) RETURN n.name AS x, COUNT(*) AS n GROUP BY n.berth", "RETURN 1 AS a, 2 AS b UNION RETURN 1 AS a", "CALL db.nothing()", "MATCH (n:Sailor)", "RETURN BYTE_LENGTH('x') AS n", "RETURN SUM(COUNT(*)) AS x", "RETURN 1 AS x LIMIT -1", "MATCH (a)-[:SIGNALS]->{2,1}(b) RETURN a"],
 )
 def test_rejected(graph, text):
     with pytest.raises(GqlError):
@@ -97,33 +97,33 @@ def test_rejected(graph, text):
 
 
 def test_patterns(graph):
-    assert rows(graph, "MATCH (a:Person {name: 'c'})-[e]->(b) RETURN b.name AS n, e.w AS w ORDER BY n") == [("a", 2.0), ("d", 6.0)]
-    assert rows(graph, "MATCH (a)<-[:KNOWS]-(b {name: 'c'})<-[:KNOWS]-(x) RETURN a.name AS a, x.name AS x ORDER BY a") == [("a", "b"), ("d", "b")]
+    assert rows(graph, "MATCH (a:Sailor {name: 'c'})-[e]->(b) RETURN b.name AS n, e.w AS w ORDER BY n") == [("a", 2.0), ("d", 6.0)]
+    assert rows(graph, "MATCH (a)<-[:SIGNALS]-(b {name: 'c'})<-[:SIGNALS]-(x) RETURN a.name AS a, x.name AS x ORDER BY a") == [("a", "b"), ("d", "b")]
     assert rows(graph, "MATCH (a)->(b)->(c)->(a) RETURN COUNT(*) AS n") == [(6,)]
-    assert rows(graph, "MATCH (a {name: 'a'}), (b {name: 'd'}) RETURN a.age + b.age AS s") == [(43,)]
-    assert rows(graph, "MATCH (a:Person) OPTIONAL MATCH (a)-[e WHERE e.w > 4]->(b) RETURN a.name AS a, b.name AS b ORDER BY a") == [("a", None), ("b", None), ("c", "d"), ("d", None), ("e", None), ("f", "d")]
-    assert rows(graph, "MATCH (a:Person) WHERE EXISTS { (a)->(b WHERE b.age > a.age + 1) } RETURN a.name AS n") == []
-    assert rows(graph, "MATCH (a:Person) WHERE a.age > 22 AND NOT EXISTS { MATCH (a)-[e]->() WHERE e.w = 5 } RETURN a.name AS n ORDER BY n") == [("d",), ("e",)]
-    assert rows(graph, "MATCH (a:Person) RETURN a.tenant AS t, COUNT(*) AS n, AVG(a.age) AS m ORDER BY t") == [("t1", 3, 22.0), ("t2", 3, 23.0)]
-    assert rows(graph, "MATCH (a:Person {name: 'c'}) RETURN VALUE { MATCH (a)->(b) RETURN COLLECT_LIST(b.age) } AS l, VALUE { MATCH (a)->(b {name: 'zz'}) RETURN COUNT(*) } AS z")[0][1] == 0
-    assert rows(graph, "MATCH (a)-[e]->(b) WHERE e IS LABELED :KNOWS AND a IS SOURCE OF e RETURN COUNT(*) AS n") == [(7,)]
-    assert rows(graph, "MATCH (a:Person|Ghost) RETURN COUNT(*) AS n") == [(6,)]
-    assert rows(graph, "MATCH (a:!Person) RETURN COUNT(*) AS n") == [(0,)]
-    assert rows(graph, "MATCH (a:Person) WITH a.tenant AS t, MAX(a.age) AS m WHERE m > 24 RETURN t") == [("t2",)]
-    assert rows(graph, "MATCH (a:Person) RETURN a NEXT MATCH (a)->(b) RETURN b.name AS n, COUNT(*) AS k ORDER BY k DESC, n LIMIT 1") == [("d", 2)]
-    assert rows(graph, "MATCH (a:Person) CALL (a) { MATCH (a)->(b) RETURN COUNT(*) AS n } RETURN a.name AS a, n ORDER BY n DESC, a LIMIT 2") == [("c", 2), ("a", 1)]
+    assert rows(graph, "MATCH (a {name: 'a'}), (b {name: 'd'}) RETURN a.berth + b.berth AS s") == [(43,)]
+    assert rows(graph, "MATCH (a:Sailor) OPTIONAL MATCH (a)-[e WHERE e.w > 4]->(b) RETURN a.name AS a, b.name AS b ORDER BY a") == [("a", None), ("b", None), ("c", "d"), ("d", None), ("e", None), ("f", "d")]
+    assert rows(graph, "MATCH (a:Sailor) WHERE EXISTS { (a)->(b WHERE b.berth > a.berth + 1) } RETURN a.name AS n") == []
+    assert rows(graph, "MATCH (a:Sailor) WHERE a.berth > 22 AND NOT EXISTS { MATCH (a)-[e]->() WHERE e.w = 5 } RETURN a.name AS n ORDER BY n") == [("d",), ("e",)]
+    assert rows(graph, "MATCH (a:Sailor) RETURN a.fleet AS t, COUNT(*) AS n, AVG(a.berth) AS m ORDER BY t") == [("t1", 3, 22.0), ("t2", 3, 23.0)]
+    assert rows(graph, "MATCH (a:Sailor {name: 'c'}) RETURN VALUE { MATCH (a)->(b) RETURN COLLECT_LIST(b.berth) } AS l, VALUE { MATCH (a)->(b {name: 'zz'}) RETURN COUNT(*) } AS z")[0][1] == 0
+    assert rows(graph, "MATCH (a)-[e]->(b) WHERE e IS LABELED :SIGNALS AND a IS SOURCE OF e RETURN COUNT(*) AS n") == [(7,)]
+    assert rows(graph, "MATCH (a:Sailor|Ghost) RETURN COUNT(*) AS n") == [(6,)]
+    assert rows(graph, "MATCH (a:!Sailor) RETURN COUNT(*) AS n") == [(0,)]
+    assert rows(graph, "MATCH (a:Sailor) WITH a.fleet AS t, MAX(a.berth) AS m WHERE m > 24 RETURN t") == [("t2",)]
+    assert rows(graph, "MATCH (a:Sailor) RETURN a NEXT MATCH (a)->(b) RETURN b.name AS n, COUNT(*) AS k ORDER BY k DESC, n LIMIT 1") == [("d", 2)]
+    assert rows(graph, "MATCH (a:Sailor) CALL (a) { MATCH (a)->(b) RETURN COUNT(*) AS n } RETURN a.name AS a, n ORDER BY n DESC, a LIMIT 2") == [("c", 2), ("a", 1)]
 
 
 def test_value_takes_the_first_row(graph):
-    assert rows(graph, "MATCH (a:Person) RETURN a.name AS n, VALUE { MATCH (b:Person {name: 'zz'}) RETURN b.age } AS v ORDER BY n LIMIT 2") == [("a", None), ("b", None)]
-    assert rows(graph, "MATCH (a:Person) RETURN COUNT(VALUE { MATCH (b:Person) RETURN b.name }) AS n") == [(6,)]
-    assert rows(graph, "MATCH (a:Person {name: 'c'}) RETURN VALUE { MATCH (a)->(b) RETURN b.name ORDER BY b.age DESC } AS x, VALUE { MATCH (a)->(b) RETURN b.name ORDER BY b.age } AS y, VALUE { MATCH (a)->(b) RETURN b.name LIMIT 0 } AS z") == [("d", "a", None)]
-    assert rows(graph, "MATCH (a:Person {name: 'c'}) RETURN VALUE { MATCH (a)->(b) RETURN COUNT(*) AS n GROUP BY b.name } AS x, VALUE { MATCH (a)<-(b) RETURN b.name UNION MATCH (a)<-(b) RETURN b.name } AS y") == [(1, "b")]
+    assert rows(graph, "MATCH (a:Sailor) RETURN a.name AS n, VALUE { MATCH (b:Sailor {name: 'zz'}) RETURN b.berth } AS v ORDER BY n LIMIT 2") == [("a", None), ("b", None)]
+    assert rows(graph, "MATCH (a:Sailor) RETURN COUNT(VALUE { MATCH (b:Sailor) RETURN b.name }) AS n") == [(6,)]
+    assert rows(graph, "MATCH (a:Sailor {name: 'c'}) RETURN VALUE { MATCH (a)->(b) RETURN b.name ORDER BY b.berth DESC } AS x, VALUE { MATCH (a)->(b) RETURN b.name ORDER BY b.berth } AS y, VALUE { MATCH (a)->(b) RETURN b.name LIMIT 0 } AS z") == [("d", "a", None)]
+    assert rows(graph, "MATCH (a:Sailor {name: 'c'}) RETURN VALUE { MATCH (a)->(b) RETURN COUNT(*) AS n GROUP BY b.name } AS x, VALUE { MATCH (a)<-(b) RETURN b.name UNION MATCH (a)<-(b) RETURN b.name } AS y") == [(1, "b")]
 
 
 def test_call_for_each_row(graph):
-    assert rows(graph, "MATCH (a:Person) CALL db.reachable_nodes([a], 'KNOWS', 10, 1, 'outgoing') YIELD node_id, depth FILTER depth = 1 RETURN a.name AS n, COUNT(node_id) AS k ORDER BY n") == [("a", 1), ("b", 1), ("c", 2), ("d", 1), ("e", 1), ("f", 1)]
-    assert rows(graph, "MATCH (a:Person {name: 'zz'}) CALL db.reachable_nodes([a], 'KNOWS', 10) YIELD node_id RETURN node_id") == []
+    assert rows(graph, "MATCH (a:Sailor) CALL db.reachable_nodes([a], 'SIGNALS', 10, 1, 'outgoing') YIELD node_id, depth FILTER depth = 1 RETURN a.name AS n, COUNT(node_id) AS k ORDER BY n") == [("a", 1), ("b", 1), ("c", 2), ("d", 1), ("e", 1), ("f", 1)]
+    assert rows(graph, "MATCH (a:Sailor {name: 'zz'}) CALL db.reachable_nodes([a], 'SIGNALS', 10) YIELD node_id RETURN node_id") == []
     assert rows(graph, "FOR x IN [[1, 2], [], [1, 2]] OPTIONAL CALL db.reciprocal_rank_fusion([x], 1) YIELD node_id AS m RETURN SIZE(x) AS n, m ORDER BY n") == [(0, None), (2, 1), (2, 1)]
 
 
@@ -173,34 +173,34 @@ def walks(edges: list, start: int, least: int, most: int, mode: str):
 @pytest.mark.parametrize("mode", ["WALK", "TRAIL", "ACYCLIC", "SIMPLE"])
 @pytest.mark.parametrize(("least", "most"), [(0, 3), (2, 4), (3, 3)])
 def test_path_modes(graph, mode, least, most):
-    got = rows(graph, f"MATCH {mode} p = (a {{name: 'b'}})-[e:KNOWS]->{{{least},{most}}}(b) RETURN ELEMENTS(p) AS x, e.w AS w")
+    got = rows(graph, f"MATCH {mode} p = (a {{name: 'b'}})-[e:SIGNALS]->{{{least},{most}}}(b) RETURN ELEMENTS(p) AS x, e.w AS w")
     want = []
-    for nodes, used in walks(KNOWS, 2, least, most, mode):
+    for nodes, used in walks(SIGNALS, 2, least, most, mode):
         elements = [nodes[0]] + [y for n, k in zip(nodes[1:], used, strict=True) for y in (100 + k, n)]
         want.append((elements, [float(k) for k in used]))
     assert sorted(got) == sorted(want)
 
 
 def test_open_quantifiers_and_selectors(graph):
-    trails = [n for n, _ in walks(KNOWS, 2, 1, 7, "TRAIL")]
-    assert len(rows(graph, "MATCH TRAIL (a {name: 'b'})-[:KNOWS]->+(b) RETURN b")) == len(trails)
+    trails = [n for n, _ in walks(SIGNALS, 2, 1, 7, "TRAIL")]
+    assert len(rows(graph, "MATCH TRAIL (a {name: 'b'})-[:SIGNALS]->+(b) RETURN b")) == len(trails)
     shortest: dict = {}
-    for nodes, _ in walks(KNOWS, 2, 1, 8, "WALK"):
+    for nodes, _ in walks(SIGNALS, 2, 1, 8, "WALK"):
         shortest[nodes[-1]] = min(shortest.get(nodes[-1], 99), len(nodes) - 1)
-    got = rows(graph, "MATCH ANY SHORTEST p = (a {name: 'b'})-[:KNOWS]->+(b:Person) RETURN b AS b, PATH_LENGTH(p) AS n")
+    got = rows(graph, "MATCH ANY SHORTEST p = (a {name: 'b'})-[:SIGNALS]->+(b:Sailor) RETURN b AS b, PATH_LENGTH(p) AS n")
     assert dict(got) == shortest
     by_end: dict = {}
-    for nodes, used in walks(KNOWS, 1, 1, 6, "WALK"):
+    for nodes, used in walks(SIGNALS, 1, 1, 6, "WALK"):
         by_end.setdefault(nodes[-1], []).append((len(used), nodes, used))
     for k in (1, 2, 3):
-        got = Counter(rows(graph, f"MATCH SHORTEST {k} p = (a {{name: 'a'}})-[:KNOWS]->{{1,6}}(b) RETURN b AS b, PATH_LENGTH(p) AS n"))
+        got = Counter(rows(graph, f"MATCH SHORTEST {k} p = (a {{name: 'a'}})-[:SIGNALS]->{{1,6}}(b) RETURN b AS b, PATH_LENGTH(p) AS n"))
         assert got == Counter((end, n) for end, ps in by_end.items() for n, _, _ in sorted(ps)[:k])
-        groups = Counter(rows(graph, f"MATCH SHORTEST {k} GROUPS p = (a {{name: 'a'}})-[:KNOWS]->{{1,6}}(b) RETURN b AS b, PATH_LENGTH(p) AS n"))
+        groups = Counter(rows(graph, f"MATCH SHORTEST {k} GROUPS p = (a {{name: 'a'}})-[:SIGNALS]->{{1,6}}(b) RETURN b AS b, PATH_LENGTH(p) AS n"))
         assert groups == Counter((end, n) for end, ps in by_end.items() for n, _, _ in ps if n in sorted({x for x, _, _ in ps})[:k])
 
 
 def test_selection_follows_predicates(graph):
-    assert rows(graph, "MATCH ANY SHORTEST p = (a {name: 'a'})-[e:KNOWS]->{1,6}(b {name: 'a'}) WHERE PATH_LENGTH(p) > 3 RETURN PATH_LENGTH(p) AS n") == [(6,)]
+    assert rows(graph, "MATCH ANY SHORTEST p = (a {name: 'a'})-[e:SIGNALS]->{1,6}(b {name: 'a'}) WHERE PATH_LENGTH(p) > 3 RETURN PATH_LENGTH(p) AS n") == [(6,)]
 
 
 def test_nan_compares_to_nothing(graph):
@@ -213,38 +213,38 @@ def test_nan_compares_to_nothing(graph):
 
 
 def test_questioned_and_different_edges(graph):
-    assert rows(graph, "MATCH (a {name: 'a'})-[e:KNOWS]->?(b) RETURN b.name AS b, e.w AS w ORDER BY b") == [("a", None), ("b", 0.0)]
+    assert rows(graph, "MATCH (a {name: 'a'})-[e:SIGNALS]->?(b) RETURN b.name AS b, e.w AS w ORDER BY b") == [("a", None), ("b", 0.0)]
     assert rows(graph, "MATCH (a)-[e]-(b)-[f]-(a) RETURN COUNT(*) AS n") == [(14,)]
     assert rows(graph, "MATCH DIFFERENT EDGES (a)-[e]-(b)-[f]-(a) RETURN COUNT(*) AS n") == [(0,)]
 
 
 def test_changes_and_transactions(spark):
-    s = Session.over(PropertyGraph.of_rows(spark, PEOPLE, [{"id": 100 + k, "label": "KNOWS", "src": a, "dst": b, "w": float(k)} for k, (a, b) in enumerate(KNOWS)]))
+    s = Session.over(PropertyGraph.of_rows(spark, PEOPLE, [{"id": 100 + k, "label": "SIGNALS", "src": a, "dst": b, "w": float(k)} for k, (a, b) in enumerate(SIGNALS)]))
     one = lambda text: [tuple(r) for r in s.execute(text).collect()]
-    assert one("INSERT (x:Person {name: 'z', age: 99})-[:KNOWS {w: 0.5}]->(y:City {name: 'q'}) RETURN x.name AS a, y.name AS b") == [("z", "q")]
-    assert one("MATCH (x {name: 'z'})-[e:KNOWS]->(y:City) RETURN y.name AS n, e.w AS w") == [("q", 0.5)]
-    one("MATCH (n:Person) WHERE n.age < 22 SET n = {age: 1, tenant: 'new'}, n IS Young")
-    assert one("MATCH (n:Young&Person) RETURN n.name AS n, n.age AS a, n.tenant AS t ORDER BY n") == [("a", 1, "new"), ("b", 1, "new")]
-    one("MATCH (n:Young) REMOVE n.tenant, n IS Young")
+    assert one("INSERT (x:Sailor {name: 'z', berth: 99})-[:SIGNALS {w: 0.5}]->(y:City {name: 'q'}) RETURN x.name AS a, y.name AS b") == [("z", "q")]
+    assert one("MATCH (x {name: 'z'})-[e:SIGNALS]->(y:City) RETURN y.name AS n, e.w AS w") == [("q", 0.5)]
+    one("MATCH (n:Sailor) WHERE n.berth < 22 SET n = {berth: 1, fleet: 'new'}, n IS Young")
+    assert one("MATCH (n:Young&Sailor) RETURN n.name AS n, n.berth AS a, n.fleet AS t ORDER BY n") == [("a", 1, "new"), ("b", 1, "new")]
+    one("MATCH (n:Young) REMOVE n.fleet, n IS Young")
     assert one("MATCH (n:Young) RETURN COUNT(*) AS n") == [(0,)]
-    assert one("MATCH (n {name: 'a'}) RETURN n.tenant AS t, LABELS(n) AS l") == [(None, ["Person"])]
+    assert one("MATCH (n {name: 'a'}) RETURN n.fleet AS t, LABELS(n) AS l") == [(None, ["Sailor"])]
     with pytest.raises(GqlError, match="G1001"):
         one("MATCH (n {name: 'a'}) DELETE n")
     one("START TRANSACTION")
     one("MATCH (n {name: 'a'}) DETACH DELETE n")
-    assert one("MATCH (n:Person) RETURN COUNT(*) AS n") == [(6,)]
+    assert one("MATCH (n:Sailor) RETURN COUNT(*) AS n") == [(6,)]
     one("ROLLBACK")
-    assert one("MATCH (n:Person) RETURN COUNT(*) AS n") == [(7,)]
+    assert one("MATCH (n:Sailor) RETURN COUNT(*) AS n") == [(7,)]
     one("MATCH (a {name: 'a'})-[e]-() DELETE e")
     one("MATCH (n {name: 'a'}) DELETE n")
-    assert one("MATCH (n:Person) RETURN COUNT(*) AS n") == [(6,)]
+    assert one("MATCH (n:Sailor) RETURN COUNT(*) AS n") == [(6,)]
     with pytest.raises(GqlError, match="25G02"):
         one("COMMIT")
 
 
 def test_an_open_graph_stays_open(spark):
     s = Session.over(PropertyGraph.of_rows(spark, PEOPLE, []))
-    for text in ("CREATE NODE TYPE :Person (name :: STRING)", "CREATE EDGE TYPE :E (FROM :A TO :B)"):
+    for text in ("CREATE NODE TYPE :Sailor (name :: STRING)", "CREATE EDGE TYPE :E (FROM :A TO :B)"):
         with pytest.raises(GqlError, match="0A000"):
             s.execute(text)
     s.execute("INSERT (:Dog {name: 'd'})")
@@ -257,8 +257,8 @@ def test_first_committer_wins(spark):
     a, b = Session(catalog), Session(catalog)
     a.execute("START TRANSACTION")
     b.execute("START TRANSACTION")
-    a.execute("INSERT (:Person {name: 'x'})")
-    b.execute("INSERT (:Person {name: 'y'})")
+    a.execute("INSERT (:Sailor {name: 'x'})")
+    b.execute("INSERT (:Sailor {name: 'y'})")
     a.execute("COMMIT")
     with pytest.raises(GqlError, match="40000"):
         b.execute("COMMIT")
@@ -275,19 +275,19 @@ def test_catalog_and_session(spark):
     with pytest.raises(GqlError, match="G1002"):
         s.execute("DROP GRAPH TYPE t")
     s.execute("SESSION SET GRAPH g")
-    s.execute("CREATE NODE TYPE :Person (name :: STRING NOT NULL, mail :: STRING UNIQUE)")
-    s.execute("INSERT (:Person {name: 'a', mail: 'm'})")
-    for bad in ("INSERT (:Person {mail: 'n'})", "INSERT (:Person {name: 'b', mail: 'm'})", "INSERT (:Dog {name: 'd'})"):
+    s.execute("CREATE NODE TYPE :Sailor (name :: STRING NOT NULL, mail :: STRING UNIQUE)")
+    s.execute("INSERT (:Sailor {name: 'a', mail: 'm'})")
+    for bad in ("INSERT (:Sailor {mail: 'n'})", "INSERT (:Sailor {name: 'b', mail: 'm'})", "INSERT (:Dog {name: 'd'})"):
         with pytest.raises(GqlError, match="G2000"):
             s.execute(bad)
-    assert s.execute("MATCH (n:Person) RETURN COUNT(*) AS n").collect()[0].n == 1
+    assert s.execute("MATCH (n:Sailor) RETURN COUNT(*) AS n").collect()[0].n == 1
     assert s.execute("CALL db.health()").collect()[0].schema_bound
     s.execute("SESSION SET VALUE $who = 'a'")
-    assert s.execute("MATCH (n:Person {name: $who}) RETURN n.mail AS m").collect()[0].m == "m"
-    s.execute("CREATE INDEX i ON :Person (name)")
-    assert [tuple(r) for r in s.execute("SHOW INDEXES").collect()] == [("index", "Person", "name")]
+    assert s.execute("MATCH (n:Sailor {name: $who}) RETURN n.mail AS m").collect()[0].m == "m"
+    s.execute("CREATE INDEX i ON :Sailor (name)")
+    assert [tuple(r) for r in s.execute("SHOW INDEXES").collect()] == [("index", "Sailor", "name")]
     assert s.execute("SHOW NODE TYPES").count() >= 1
-    s.execute("TRUNCATE NODE TYPE :Person")
+    s.execute("TRUNCATE NODE TYPE :Sailor")
     assert s.execute("MATCH (n) RETURN COUNT(*) AS n").collect()[0].n == 0
     s.execute("SESSION RESET GRAPH")
     s.execute("DROP GRAPH g")
@@ -301,7 +301,7 @@ def test_catalog_and_session(spark):
     [
         "MATCH SHORTEST 2 TRAIL PATHS GROUPS (a)-[:E]->(b) RETURN b",
         "CREATE PROPERTY GRAPH g TYPED ANY PROPERTY GRAPH",
-        "CREATE GRAPH TYPE IF NOT EXISTS t { NODE TYPE Person () }",
+        "CREATE GRAPH TYPE IF NOT EXISTS t { NODE TYPE Sailor () }",
         "CREATE NODE TYPE :Child EXTENDS :Parent (name :: STRING)",
         "ALTER EDGE TYPE :E (FROM :A, :B TO :C, x :: FLOAT)",
         "DROP NODE TYPE :N CASCADE",
