@@ -76,6 +76,46 @@ def test_line_dedup(spark, block):
     assert sorted(map(tuple, got.select("doc_id", "text", "n_lines", "n_dropped").collect())) == lines_by_hand(rows)
 
 
+@pytest.mark.parametrize("block", [16, 512])
+def test_line_dedup_by_words(spark, block):
+    """Lines of 17 to 24 words, some of which differ in a word or more, against all pairs."""
+    random.seed(17)
+    words = [f"{a}{b}" for a in "bcdfgk" for b in ("a", "en", "ort", "ing")]
+    base = [random.choices(words, k=n) for n in (17, 18, 19, 20, 21, 22, 24)]
+
+    def changed() -> str:
+        x = list(random.choice(base))
+        for _ in range(random.choice([0, 0, 1, 1, 2, 3])):
+            r, at = random.random(), random.randrange(len(x))
+            x[at : at + (r < 0.6)] = [] if r < 0.2 else [random.choice(words)]
+        return (" " if random.random() < 0.9 else "  ").join(x)
+
+    rows = [(i, "\n".join(changed() for _ in range(random.randint(0, 4)))) for i in range(90)]
+    want, seen = [], []
+    for i, t in rows:
+        kept = []
+        for x in t.split("\n"):
+            a = x.split()
+            near = lambda y: distance(x, y) <= 2 if max(len(a), len(y.split())) < 20 else distance(a, y.split()) <= 2  # noqa: B023, E731
+            if len(x) < 24 or not any(x == y or near(y) for y in seen):
+                kept.append(x)
+            if len(x) >= 24 and x not in seen:
+                seen.append(x)
+        want.append((i, "\n".join(kept)))
+    got = dedup_lines(spark.createDataFrame(rows, KIND), dataclasses.replace(LineRules(), block=block))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == want
+
+
+def test_a_changed_word_in_a_long_line(spark):
+    line = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, line), (2, line.replace("word30", "something-quite-different")), (3, line.replace("word3 ", "three ").replace("word50", "fifty")), (4, line.replace("word1 ", "one ").replace("word2 ", "two ").replace("word3 ", "three "))]
+    got = {r.doc_id: r.n_dropped for r in dedup_lines(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0}  # three words
+    huge = "x" * 200_000 + " " + line
+    got = {r.doc_id: r.n_dropped for r in dedup_lines(spark.createDataFrame([(1, huge), (2, huge.replace("word9 ", "nine ")), (3, None)], KIND)).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+
+
 def test_line_dedup_edge_cases(spark):
     line = "a line of more than twenty-four characters"
     df = spark.createDataFrame([(1, line, "k"), (1, line, "k"), (None, line, "k"), (2, line + "!", "k")], "doc_id long, text string, key string")
