@@ -360,7 +360,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     ),
     "json_documents": (
         "MATCH (e:Event) WHERE e.props STARTS WITH '{' RETURN e.event_id AS id, json_stringify(json(e.props)) AS s, json_merge_patch(e.props, '{\"z\": 1}') AS m, json_patch(e.props, '[{\"op\": \"add\", \"path\": \"/z\", \"value\": 1}]') AS p, json_object('id', e.event_id, 'a', 'x') AS o, json_array(e.event_id, 'x') AS l, json_get_path(e.props, 'k') AS g, json_array_length('[1, 2]') AS n",
-        "SELECT event_id AS id, json(props) AS s, json_merge_patch(props, '{\"z\": 1}') AS m, json_merge_patch(props, '{\"z\": 1}') AS p, '{\"a\":\"x\",\"id\":' || event_id || '}' AS o, '[' || event_id || ',\"x\"]' AS l, json_extract_string(props, '$.k') AS g, CAST(2 AS BIGINT) AS n FROM events WHERE starts_with(props, '{')",
+        "SELECT event_id AS id, CAST(json(props) AS VARCHAR) AS s, CAST(json_merge_patch(props, '{\"z\": 1}') AS VARCHAR) AS m, CAST(json_merge_patch(props, '{\"z\": 1}') AS VARCHAR) AS p, '{\"a\":\"x\",\"id\":' || event_id || '}' AS o, '[' || event_id || ',\"x\"]' AS l, json_extract_string(props, '$.k') AS g, CAST(2 AS BIGINT) AS n FROM events WHERE starts_with(props, '{')",
     ),
     "json_path_contains_nodes": (
         "CALL db.json_path_contains_nodes('Event', 'props', '$.k', '87', 30) YIELD node_id MATCH (node_id) RETURN node_id.event_id AS id",
