@@ -292,6 +292,38 @@ def test_repeated_passages_go(spark):
     assert 12 not in got and 13 not in got  # more than half of their bytes are the passage
 
 
+def test_stages_on_nulls_repeats_and_nothing(spark):
+    """Every stage alone and all in a row: null and repeated ids, null, empty and very long texts, clashing columns, an empty table."""
+    import corpus_pipeline as p
+
+    rng = random.Random(21)
+    fresh = iter(f"w{i}" for i in range(1_000_000))
+    own = lambda n: " ".join(next(fresh) for _ in range(n))
+    twice = own(40)
+    rows = [(1, None), (None, ""), (2, twice), (2, twice), (None, own(50)), (2, own(30)), (3, own(60_000)), (4, own(25) + "\n\n" + own(25)), (None, None)]
+    rng.shuffle(rows)
+    docs = documents(spark, rows).withColumn("lang", F.lit(None).cast("string")).withColumns({"key": F.lit(1), "kept": F.lit("x"), "spans": F.lit(0), "lost": F.lit(0)})
+    long = sorted(((i, x) for i, x in rows if x), key=repr)
+    first = sorted(((r.doc_id, r.text) for r in p.quality_rules(spark, docs, "").collect()), key=repr)
+    assert first == long
+    for name, stage in p.STAGES[1:-1]:
+        got = sorted(((r.doc_id, r.text or None) for r in stage(spark, docs, "").collect()), key=repr)
+        blank = [(1, None), (None, None), (None, None)]
+        want = {"line dedup": long, "n-gram Jaccard join": [x for i, x in enumerate(long) if x not in long[:i]], "suffix-array dedup": long}[name]
+        if name == "suffix-array dedup":  # the repeated row is a passage of 40 words, which stays
+            assert [x for x in got if x[1]] == long
+        else:
+            assert got == sorted([*want, *blank], key=repr), name
+    packed = p.packing(spark, docs, "").select("doc_id", "doc_tokens", "start", "length").collect()
+    assert sum(r.length for r in packed if r.start == 0 and r.doc_tokens == 1) == 3
+    whole = docs
+    for _, stage in p.STAGES:
+        whole = stage(spark, whole, "")
+    assert sum(r.length for r in whole.collect()) > 60_000
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+
+
 def test_stages_leave_no_shared_passage(spark):
     """After the suffix stage no string of 50 words is in two documents, and only documents that had one have changed."""
     import corpus_pipeline as p
