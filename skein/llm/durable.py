@@ -1,5 +1,5 @@
 """Cutting lineage in the folder that the cluster shares."""
 
-from skein.sources.durable import shared_folder, written
+from skein.sources.durable import discard, shared_folder, written
 
-__all__ = ["shared_folder", "written"]
+__all__ = ["discard", "shared_folder", "written"]

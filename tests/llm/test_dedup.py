@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from skein.llm import line_dedup
 from skein.llm.line_dedup import LineRules, dedup_lines, within
 from skein.llm.ngram_join import JaccardJoin, bands_and_rows, near_duplicates
 from skein.llm.suffix_dedup import RepeatRules, remove_repeats
@@ -106,6 +107,21 @@ def test_line_dedup_by_words(spark, block):
     assert sorted((r.doc_id, r.text) for r in got.collect()) == want
 
 
+def test_large_groups_of_near_lines_ship_few_lines_at_a_time(spark, monkeypatch):
+    """A group of many blocks: rows that lie on disk at once grow with its lines, not with their square, and none of them is lost."""
+    random.seed(27)
+    base = "".join(random.choices("abcdefgh ", k=60))
+    rows = [(i, "\n".join(edited(base, random.choice([0, 1, 2, 3, 4])) for _ in range(3))) for i in range(70)]
+    rows += rows[:5]
+    shipped, verified = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda lines, rules: (shipped.append(lines.count()), verified(lines, rules))[1])
+    monkeypatch.setattr(line_dedup, "ROUND_BYTES", 1, raising=False)
+    got = dedup_lines(spark.createDataFrame(rows, KIND), dataclasses.replace(LineRules(), block=8))
+    assert set(map(tuple, got.select("doc_id", "text", "n_lines", "n_dropped").collect())) == set(lines_by_hand(rows[:70]))
+    n = len({x for _, t in rows for x in t.split("\n")})
+    assert shipped[0] <= n and len(shipped) > 2 and max(shipped) <= 4 * n
+
+
 def test_a_changed_word_in_a_long_line(spark):
     line = " ".join(f"word{i}" for i in range(60))
     rows = [(1, line), (2, line.replace("word30", "something-quite-different")), (3, line.replace("word3 ", "three ").replace("word50", "fifty")), (4, line.replace("word1 ", "one ").replace("word2 ", "two ").replace("word3 ", "three "))]
