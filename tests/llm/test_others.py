@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -262,6 +263,17 @@ def documents(spark, rows: list):
     return spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], DOCUMENTS)
 
 
+def test_pipeline_keeps_one_stage_on_disk(spark):
+    import corpus_pipeline as p
+    from skein.sources.durable import of_application, shared_folder
+
+    folder = Path(of_application(spark, shared_folder(spark)).removeprefix("file://"))
+    before = set(folder.glob("stage-*"))
+    out = p.run(spark, "/root/testdata/sf0.001")
+    assert [x.name.rsplit("-", 1)[0] for x in set(folder.glob("stage-*")) - before] == ["stage-suffix-array-dedup"]
+    assert out.count() and spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()  # the input stays
+
+
 def test_near_duplicates_leave_one_of_each_group(spark):
     import corpus_pipeline as p
 
