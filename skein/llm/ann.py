@@ -29,7 +29,7 @@ from .text import tidy
 
 @dataclass(frozen=True)
 class PolytopeIndex:
-    """tables, probes in each; axes: rotations joined to one bucket key; block: most rows of a side in a task; large: distinct vectors from which ``for_size`` takes finer buckets."""
+    """tables, probes in each; axes: rotations joined to one bucket key; block: most rows of a side in a task; large: distinct vectors from which ``for_size`` has finer buckets. ``nearest`` takes an index as it is, whatever the table's size."""
 
     tables: int = 10
     probes: int = 16
@@ -39,7 +39,7 @@ class PolytopeIndex:
     large: int = 1_000_000
 
     def for_size(self, vectors: int) -> PolytopeIndex:
-        """Two axes and 512 probes for large tables: of all vectors a query then meets half of what it does with one axis, in buckets a hundredth as large."""
+        """For callers who ask for it: two axes and 512 probes for large tables. Of all vectors a query then meets half of what it does with one axis, in buckets a hundredth as large, and may find others."""
         return replace(self, axes=2, probes=max(self.probes, 512)) if self.axes == 1 and vectors >= self.large else self
 
 
@@ -206,7 +206,6 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, index: PolytopeIndex
     first = Window.partitionBy("vec").orderBy("id")
     few = all_rows.select("id", "vec").distinct().withColumn("i", F.row_number().over(first)).filter(F.col("i") <= k + 1)
     distinct = written(few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("key", F.col("ids")[0]), "ann-index")
-    index = index.for_size(distinct.count())
     asking = all_rows.filter("asks").select("id", "vec").distinct()
     # equal vectors ask once; the key tells both sides apart by their smallest id and vector
     asked = asking.select("vec").distinct().join(distinct.select("vec", "key"), "vec").select(F.col("key").alias("q"), "vec")

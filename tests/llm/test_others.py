@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections import defaultdict
+from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
@@ -219,6 +220,15 @@ def test_large_tables_take_finer_buckets():
     assert (PolytopeIndex().for_size(1_000_000).axes, PolytopeIndex().for_size(1_000_000).probes) == (2, 512)
 
 
+def test_neighbours_do_not_depend_on_a_count(spark):
+    """The same index on either side of ``large``: the same rows."""
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(600, 32)))], "vec_id long, embedding array<double>")
+    few = PolytopeIndex(tables=2, probes=2)
+    small, large = (sorted(map(tuple, nearest(df, F.col("vec_id") % 10 == 0, 5, replace(few, large=n)).collect())) for n in (601, 600))
+    assert small == large and len(small) == 300
+
+
 @pytest.mark.parametrize(("index", "least"), [(PolytopeIndex(), 0.98), (PolytopeIndex(large=1), 0.9)])
 def test_neighbours_recall_on_a_table(spark, index, least):
     """Both settings against brute force on the given vectors; that of large tables finds more as neighbours come closer."""
