@@ -251,3 +251,35 @@ def test_json_graph_and_fusion_procedures(library):
     assert call(s, "db.health()") == [("main", 20, 19, False)]
     s.execute("CALL db.drop_vector_index('Doc', 'v')")
     assert call(s, "db.vector_index_stats()") == []
+
+
+def test_edges_that_lie_together_need_no_rounds(spark, monkeypatch):
+    """A chain in one task is contracted there; spread over tasks it gives the same components."""
+    from skein.operators import components as C
+
+    random.seed(7)
+    ids = random.sample(range(1000), 300)
+    edges = [(a, b) for k, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if k % 50 != 49] + [(5, 5)]
+    want = {v: min(part) for k in range(0, 300, 50) for part in [ids[k : k + 50]] for v in part if v != min(part)}
+    calls = []
+    monkeypatch.setattr(C, "written", lambda df, name, real=C.written: calls.append(name) or real(df, name))
+    df = spark.createDataFrame(edges, "a long, b long")
+    for tasks, chunk in ((1, 1 << 20), (7, 1 << 20), (1, 10)):
+        monkeypatch.setattr(C, "CHUNK", chunk)
+        calls.clear()
+        rows = C.components(df.coalesce(1) if tasks == 1 else df.repartition(tasks)).collect()
+        assert dict(map(tuple, rows)) == want and len(rows) == len(want)
+        if tasks == 1 and chunk > 300:
+            assert len(calls) == 1
+
+
+def test_projections_join_no_ends_that_are_known(spark):
+    from skein.operators.algorithms import project
+    from skein.sources.tables import orders_graph
+
+    g = orders_graph(spark, "/root/testdata/sf0.001")
+    p = project(g, "g", ["Event"], ["NEXT"], None)
+    assert "Join" not in p.edges._jdf.queryExecution().optimizedPlan().toString()
+    assert p.edges.count() == p.edges.join(p.vertices, p.edges.src == p.vertices.id, "left_semi").count() > 0
+    assert project(g, "g", ["Customer"], ["NEXT"], None).edges.isEmpty()
+    assert "LeftSemi" in project(g, "g", ["Customer"], ["FOLLOWED"], None).edges._jdf.queryExecution().optimizedPlan().toString()
