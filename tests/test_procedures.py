@@ -283,3 +283,111 @@ def test_projections_join_no_ends_that_are_known(spark):
     assert p.edges.count() == p.edges.join(p.vertices, p.edges.src == p.vertices.id, "left_semi").count() > 0
     assert project(g, "g", ["Customer"], ["NEXT"], None).edges.isEmpty()
     assert "LeftSemi" in project(g, "g", ["Customer"], ["FOLLOWED"], None).edges._jdf.queryExecution().optimizedPlan().toString()
+
+
+def plain_louvain(nodes, edges, rounds):
+    total = sum(w / 2 if a == b else w for a, b, w in edges)
+    near = {v: [(b if a == v else a, w) for a, b, w in edges if v in (a, b)] for v in nodes}
+    home = {v: v for v in nodes}
+    degree = {v: sum(w for _, w in near[v]) for v in nodes}
+    weight = dict(degree)
+    for _ in range(rounds):
+        for v in sorted(nodes):
+            links, here, k = defaultdict(float), home[v], degree[v]
+            for x, w in near[v]:
+                links[home[x]] += w
+            gain = lambda c, others: links.get(c, 0.0) / total - k * others / (2 * total * total)  # noqa: B023, E731
+            stay, best, most = gain(here, weight[here] - k), here, 0.0
+            for c in sorted(links):
+                if c != here and gain(c, weight[c]) - stay > most:
+                    best, most = c, gain(c, weight[c]) - stay
+            weight[here] -= k
+            weight[best] += k
+            home[v] = best
+    return home
+
+
+def test_sweeps_over_files_and_several_components(spark, monkeypatch):
+    """The same rows, whether arcs lie in memory or in a file, and one task runs over a component or over many."""
+    from skein.operators import algorithms
+
+    random.seed(3)
+    edges = [(a, b, float(random.randint(1, 4))) for lo in (1, 41, 81) for a, b in {(random.randint(lo, lo + 29), random.randint(lo, lo + 29)) for _ in range(60)}]
+    edges += edges[:3]
+    g = PropertyGraph.of_rows(spark, [{"id": i, "labels": ["N"]} for i in range(1, 121)], [{"id": 1000 + k, "label": "E", "src": a, "dst": b, "w": w} for k, (a, b, w) in enumerate(edges)])
+    s = Session.over(g)
+    s.execute("CALL algo.projection_build('p', NULL, ['E'], 'w')")
+    calls = ["algo.louvain('p', 3)", "algo.label_propagation('p', 4)", "algo.scc('p')", "algo.bridges('p')", "algo.articulation_points('p')"]
+    before = [sorted(call(s, x)) for x in calls]
+    assert {v: c for v, c, _ in before[0]} == plain_louvain(range(1, 121), edges, 3)
+    monkeypatch.setattr(algorithms, "HELD_ARCS", 16)
+    monkeypatch.setattr(algorithms, "TASK_ROWS", 40)
+    assert [sorted(call(s, x)) for x in calls] == before
+
+
+def test_a_component_takes_little_memory():
+    """A task holds its nodes, not its arcs."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from skein.operators import algorithms
+
+    n, each = 2000, 600
+    rng = np.random.default_rng(1)
+
+    def batches():
+        for v in range(n):
+            dst = pa.array([None, *rng.integers(0, n, each).tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(each + 1, v)), dst, pa.array(np.ones(each + 1))], names=["src", "dst", "weight"])
+
+    tracemalloc.start()
+    held, algorithms.HELD_ARCS = algorithms.HELD_ARCS, 1 << 14
+    try:
+        g = algorithms.adjacency(batches())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        algorithms.HELD_ARCS = held
+        tracemalloc.stop()
+    assert len(g.to) == n * each and peak < 4 * n * each  # bytes, of 16 in two columns
+
+
+def test_small_components_share_tasks(spark):
+    from skein.operators import algorithms
+    from skein.sources.tables import orders_graph
+
+    p = algorithms.project(orders_graph(spark, "/root/testdata/sf0.001"), "g", ["Event"], ["NEXT"], None)
+    plan = algorithms.scc(p)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_joins_of_rounds_broadcast_nothing(random_graph, monkeypatch):
+    """What a round joins does not pass through the driver, whatever its size."""
+    from skein.operators import algorithms, components
+
+    plans = []
+
+    def kept(df, name, real=algorithms.written):
+        plans.append((name, df._jdf.queryExecution().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(algorithms, "written", kept)
+    monkeypatch.setattr(components, "written", kept)
+    monkeypatch.setattr(algorithms, "MOST_IN_TASK", 5)
+    s, _ = random_graph
+    call(s, "algo.scc('p')")
+    assert any(name.startswith("scc") for name, _ in plans)
+    assert not [name for name, plan in plans if name not in ("large-nodes", "component-rows") and "BroadcastExchange" in plan]  # these two meet the names of large components, few
+
+
+def test_edges_that_begin_no_triangle_ship_nothing(spark, monkeypatch):
+    """A graph of two sides ends with its middle edges, of which there are none; no wedge is built."""
+    from skein.operators import algorithms
+
+    names = []
+    monkeypatch.setattr(algorithms, "written", lambda df, name, real=algorithms.written: names.append(name) or real(df, name))
+    g = PropertyGraph.of_rows(spark, [{"id": i, "labels": ["N"]} for i in range(1, 41)], [{"id": 100 * a + b, "label": "E", "src": a, "dst": b} for a in range(1, 4) for b in range(4, 41)])
+    s = Session.over(g)
+    s.execute("CALL algo.projection_build('p')")
+    assert {n for _, n in call(s, "algo.triangle_count('p', NULL)")} == {0} and names == ["oriented", "middle"]
