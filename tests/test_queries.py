@@ -85,3 +85,22 @@ def test_chains_that_are_only_counted_join_as_numbers(spark, text, monkeypatch):
     want = Session.over(orders_graph(spark, SF)).execute(text)
     assert got.schema.simpleString() == want.schema.simpleString()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_times_of_day_equal_their_sql_at_whole_seconds(spark, tmp_path):
+    """The SQL trims zeros off whole seconds too, and the query does as it says; a cast by itself keeps them."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    stamps = ["2024-01-02 10:20:30", "2024-01-02 10:20:00", "2024-01-02 00:00:00", "2024-01-02 23:59:59.999999", "2024-01-02 12:00:00", "2024-01-02 11:59:59.1", "2024-01-02 10:20:30.000001", "1969-12-31 23:59:50.5", "1960-02-29 01:02:03"]
+    values = ", ".join(f"({k}, TIMESTAMP '{x}')" for k, x in enumerate(stamps)) + f", ({len(stamps)}, NULL)"
+    con.execute(f"CREATE TABLE events AS SELECT CAST(k AS BIGINT) AS event_id, ts, CAST(1 AS BIGINT) AS user_id, 'view' AS event_type, 0.5::DOUBLE AS value, '{{}}' AS props FROM (VALUES {values}) t(k, ts)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    df = queries.QUERIES["times_of_day"](spark, str(tmp_path))
+    found = con.execute(queries.SQL["times_of_day"])
+    names = [d[0] for d in found.description]
+    assert plain([tuple(r) for r in df.collect()], df.columns) == plain(found.fetchall(), names)
+    from skein.session import Session
+    from skein.sources.tables import orders_graph
+
+    cast = Session.over(orders_graph(spark, str(tmp_path))).execute("MATCH (e:Event) WHERE e.event_id = 0 RETURN CAST(CAST(e.ts AS TIME) AS STRING) AS t")
+    assert [tuple(r) for r in cast.collect()] == [("10:20:30",)]
